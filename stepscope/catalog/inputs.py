@@ -75,7 +75,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run metadata from events: status from the kinds of events seen."""
     events = table(spark, sf_dir, "events")
     return events.groupBy(F.col("user_id").alias("run_id")).agg(
-        F.concat(F.lit("task_"), (F.col("user_id") % 10).cast("string")).alias("task_id"),
+        F.concat(F.lit("task_"), F.floor(F.col("user_id") / 3).cast("string")).alias("task_id"),
         (F.col("user_id") % 3).cast("int").alias("trial_number"),
         F.when(F.count_if(F.col("event_type") == "error") * 4 > F.count(F.lit(1)), "fail")
         .when(F.count_if(F.col("event_type") == "purchase") > 0, "success")
@@ -120,7 +120,7 @@ STEPS_SQL = """steps AS (
   FROM events)"""
 
 RUNS_SQL = """runs AS (
-  SELECT user_id AS run_id, 'task_' || CAST(user_id % 10 AS VARCHAR) AS task_id,
+  SELECT user_id AS run_id, 'task_' || CAST(user_id // 3 AS VARCHAR) AS task_id,
          CAST(user_id % 3 AS INTEGER) AS trial_number,
          CASE WHEN count(*) FILTER (event_type = 'error') * 4 > count(*) THEN 'fail'
               WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'success'
@@ -140,4 +140,8 @@ JUDGED_SQL = f"""judged AS (
          d.text AS justification, d.source AS source, d.n_chars AS n_chars
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
+PLAN_SQL = "plan_items AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, 'subgoal_{i + 1:03d}', '{PLAN_CYCLE[i % len(PLAN_CYCLE)]}')" for i in range(PLAN_ITEMS)
+) + ") AS t(no, id, word))"
+
 MESSAGES_SQL = "messages AS (SELECT conv_id AS run_id, turn, role, text FROM conversations)"

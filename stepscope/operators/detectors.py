@@ -139,7 +139,7 @@ def match_steps(
     phrase: str = NO_EFFECT,
     rules=None,
     block: int = ordered.BLOCK,
-    longs: DataFrame | None = None,
+    longs=ordered.LOOK_UP,
 ) -> DataFrame:
     """Add `match`, the first rule that applies to a step, or null.
 
@@ -196,7 +196,7 @@ def assess_steps(
     threshold: float = 0.35,
     interval: int = 5,
     block: int = ordered.BLOCK,
-    longs: DataFrame | None = None,
+    longs=ordered.LOOK_UP,
 ) -> DataFrame:
     """Add subgoal state, drift and reflection to matched steps."""
     counted = ordered.running(

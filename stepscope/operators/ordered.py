@@ -34,49 +34,46 @@ def number_rows(
 ) -> DataFrame:
     """Number the rows of each run from 0 in `order`.
 
-    `order[0]` must be an integer or a time. Runs with more than their share of
-    rows are cut into equal ranges of it; each range is numbered alone and then
-    shifted by the rows before it.
+    `order[0]` must be an integer or a time. The run sizes are looked up first. If no
+    run holds more than its share, one window numbers all. Otherwise the large runs,
+    of which there are at most SHARE, are cut into equal ranges of `order[0]`; each
+    range is numbered alone and then shifted by the rows before it.
     """
-    kind = df.schema[order[0]].dataType.typeName()
-    at = _as_number(F.col(order[0]), kind)
-    runs = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
-    )
-    total = runs.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t"))
-    target = F.greatest(F.lit(min_slice), F.ceil(total.scalar() / F.lit(SHARE)))
+    spark = df.sparkSession
+    at = _as_number(F.col(order[0]), df.schema[order[0]].dataType.typeName())
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    target = max(min_slice, -(-(total or 0) // SHARE))
+    if (largest or 0) <= target:
+        alone = Window.partitionBy(key).orderBy(*order)
+        return df.withColumn(out, (F.row_number().over(alone) - 1).cast("int"))
     hot = (
-        runs.where(F.col("_n") > target)
+        df.groupBy(F.col(key).alias("_key"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+        .where(F.col("_n") > target)
         .withColumn("_k", F.ceil(F.col("_n") / target))
-        .select(F.col(key).alias("_key"), "_k", "_lo", "_hi")
+        .drop("_n")
     )
+    hot = F.broadcast(spark.createDataFrame(hot.collect(), hot.schema))  # at most SHARE rows
     width = (F.col("_hi") - F.col("_lo") + 1) / F.col("_k")
-    sliced = (
-        df.join(F.broadcast(hot), df[key] == F.col("_key"), "left")
-        .withColumn(
-            "_slice",
-            F.coalesce(F.floor((at - F.col("_lo")) / width), F.lit(0)),
-        )
+    sliced = df.join(hot, df[key] == F.col("_key"), "left").withColumn(
+        "_slice", F.coalesce(F.floor((at - F.col("_lo")) / width), F.lit(0))
     )
-    shifts = (
+    counted = (
         sliced.where(F.col("_key").isNotNull())
         .groupBy("_key", "_slice")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn(
-            "_shift",
-            F.sum("_rows").over(
-                Window.partitionBy("_key").orderBy("_slice").rowsBetween(
-                    Window.unboundedPreceding, -1
-                )
-            ),
-        )
-        .where(F.col("_shift").isNotNull())
-        .select(F.col("_key").alias("_skey"), F.col("_slice").alias("_sslice"), "_shift")
     )
+    before = Window.partitionBy("_skey").orderBy("_sslice").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    shifts = spark.createDataFrame(counted.collect(), counted.schema).select(  # 2 * SHARE rows
+        F.col("_key").alias("_skey"), F.col("_slice").alias("_sslice"), "_rows"
+    ).withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
     in_slice = Window.partitionBy(key, "_slice").orderBy(*order)
-    numbered = sliced.withColumn("_rn", F.row_number().over(in_slice) - 1)
     return (
-        numbered.join(
+        sliced.withColumn("_rn", F.row_number().over(in_slice) - 1)
+        .join(
             F.broadcast(shifts),
             (F.col(key) == F.col("_skey")) & (F.col("_slice") == F.col("_sslice")),
             "left",
@@ -143,12 +140,17 @@ def neighbours(
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def long_runs(steps: DataFrame, key: str, pos: str, block: int = BLOCK) -> DataFrame:
-    """Runs of more than one block, with their last block.
+LOOK_UP = object()
+
+
+def long_runs(steps: DataFrame, key: str, pos: str, block: int = BLOCK) -> DataFrame | None:
+    """Runs of more than one block with their last block; None when there are none.
 
-    There are at most rows / block of them; for short runs the table is empty, and
-    AQE then drops the branches that join it.
+    The longest run is looked up first: tables of ordinary runs need no second pass.
     """
+    longest = steps.agg(F.max(pos)).first()[0]
+    if longest is None or longest < block:
+        return None
     return (
         steps.groupBy(F.col(key).alias("_lk"))
         .agg(F.floor(F.max(pos) / F.lit(block)).alias("_top"))
@@ -162,7 +164,7 @@ def running(
     pos: str,
     values: dict[str, tuple[str, Column]],
     block: int = BLOCK,
-    longs: DataFrame | None = None,
+    longs=LOOK_UP,
 ) -> DataFrame:
     """Running sum / max / min / last non-null per run, up to the current row.
 
@@ -173,7 +175,7 @@ def running(
     kept = "_block" in df.columns
     base = in_blocks(df, key, pos, block=block).drop("_own")
     base = base.withColumns({f"_v_{name}": col for name, (_, col) in values.items()})
-    longs = long_runs(df, key, pos, block) if longs is None else longs
+    longs = long_runs(df, key, pos, block) if longs is LOOK_UP else longs
 
     def agg(kind: str, name: str) -> Column:
         if kind == "last":
@@ -185,6 +187,15 @@ def running(
             return F.last(col, ignorenulls=True).over(window)
         return _COMBINE[kind](col).over(window)
 
+    upto = block_window(key, pos).rowsBetween(Window.unboundedPreceding, 0)
+    inside = base.withColumns({f"_i_{n}": over(k, f"_v_{n}", upto) for n, (k, _) in values.items()})
+    if longs is None:
+        done = {
+            n: F.coalesce(F.col(f"_i_{n}"), F.lit(0)) if k == "sum" else F.col(f"_i_{n}")
+            for n, (k, _) in values.items()
+        }
+        scratch = [f"_{x}_{n}" for n in values for x in "vi"]
+        return inside.withColumns(done).drop(*scratch, *([] if kept else ["_block"]))
     before = Window.partitionBy("_bk").orderBy("_bb").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         base.join(longs, F.col(key) == F.col("_lk"), "left_semi")
@@ -194,8 +205,6 @@ def running(
         .where(F.col("_bb") > 0)
         .drop(*[f"_t_{name}" for name in values])
     )
-    upto = block_window(key, pos).rowsBetween(Window.unboundedPreceding, 0)
-    inside = base.withColumns({f"_i_{n}": over(k, f"_v_{n}", upto) for n, (k, _) in values.items()})
     joined = inside.join(
         blocks, (F.col(key) == F.col("_bk")) & (F.col("_block") == F.col("_bb")), "left"
     )
@@ -223,7 +232,7 @@ def join_runs(
     pos: str = "step_index",
     how: str = "left",
     block: int = BLOCK,
-    longs: DataFrame | None = None,
+    longs=LOOK_UP,
 ) -> DataFrame:
     """Join one row per run onto the steps of the run.
 
@@ -231,16 +240,17 @@ def join_runs(
     that a long run is spread over many tasks.
     """
     kept = "_block" in steps.columns
-    longs = long_runs(steps, key, pos, block) if longs is None else longs
-    wide = (
-        runs.withColumnRenamed(key, "_rk")
-        .join(longs, F.col("_rk") == F.col("_lk"), "left")
-        .withColumn(
-            "_rb",
-            F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_top", F.lit(0).cast("long")))),
+    longs = long_runs(steps, key, pos, block) if longs is LOOK_UP else longs
+    wide = runs.withColumnRenamed(key, "_rk")
+    zero = F.lit(0).cast("long")
+    if longs is None:
+        wide = wide.withColumn("_rb", F.explode(F.array(zero)))
+    else:
+        wide = (
+            wide.join(longs, F.col("_rk") == F.col("_lk"), "left")
+            .withColumn("_rb", F.explode(F.sequence(zero, F.coalesce("_top", zero))))
+            .drop("_lk", "_top")
         )
-        .drop("_lk", "_top")
-    )
     joined = (
         in_blocks(steps, key, pos, block=block)
         .drop("_own")

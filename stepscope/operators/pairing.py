@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepscope.operators import ordered
+from stepscope.session import cut
 
 
 def _latest_open(left_calls: DataFrame, left_results: DataFrame) -> DataFrame:
@@ -18,9 +19,16 @@ def _latest_open(left_calls: DataFrame, left_results: DataFrame) -> DataFrame:
     closed = left_results.select(
         "session_id", F.col("result_seq").alias("seq"), F.lit(-1).alias("move")
     )
-    moves = ordered.number_rows(opened.unionByName(closed), "session_id", ["seq", "move"], out="pos")
-    summed = ordered.running(moves, "session_id", "pos", {"s": ("sum", F.col("move"))})
-    floored = ordered.running(summed, "session_id", "pos", {"low": ("min", F.col("s"))})
+    moves = cut(
+        ordered.number_rows(opened.unionByName(closed), "session_id", ["seq", "move"], out="pos")
+    )
+    longs = ordered.long_runs(moves, "session_id", "pos")
+    summed = ordered.running(
+        moves, "session_id", "pos", {"s": ("sum", F.col("move"))}, longs=longs
+    )
+    floored = ordered.running(
+        summed, "session_id", "pos", {"low": ("min", F.col("s"))}, longs=longs
+    )
     low = F.least(F.lit(0), F.col("low"))
     unmatched = (F.col("move") == -1) & (F.col("s") < 0) & (F.col("s") == F.col("low"))
     # A result at a new low found nothing open, unless the low was reached before.
@@ -33,7 +41,7 @@ def _latest_open(left_calls: DataFrame, left_results: DataFrame) -> DataFrame:
         F.struct("session_id", level.alias("level")).alias("lane"), "seq", "move"
     )
     lanes = ordered.number_rows(
-        leveled.withColumn("lane", F.to_json("lane")), "lane", ["seq", "move"], out="pos"
+        cut(leveled.withColumn("lane", F.to_json("lane"))), "lane", ["seq", "move"], out="pos"
     )
     paired = ordered.neighbours(
         lanes, "lane", "pos",
@@ -84,8 +92,10 @@ def pair_tool_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
     body = calls.select(
         "session_id", "call_seq", F.col("name").alias("_name"), "args", "reasoning"
     )
-    joined = once.join(links, ["session_id", "result_seq"], "left").join(
-        body, ["session_id", "call_seq"], "left"
+    joined = cut(
+        once.join(links, ["session_id", "result_seq"], "left").join(
+            body, ["session_id", "call_seq"], "left"
+        )
     )
     numbered = ordered.number_rows(joined, "session_id", ["result_seq"])
     return numbered.select(

@@ -10,9 +10,15 @@ from stepscope.functions import text as tt
 from stepscope.operators import ordered
 
 
-def _message_context(messages: DataFrame, block: int) -> DataFrame:
+def messages_to_steps(messages: DataFrame, block: int = ordered.BLOCK) -> DataFrame:
+    """Each assistant message is a step; a user message right after it is its response.
+
+    messages(run_id, turn, role, text) -> (run_id, step_index, turn, content,
+    tool_response, current_input); `current_input` is a user message right before it.
+    """
     numbered = ordered.number_rows(messages, "run_id", ["turn"], out="_pos")
-    return ordered.neighbours(
+    longs = ordered.long_runs(numbered, "run_id", "_pos", block)
+    context = ordered.neighbours(
         numbered,
         "run_id",
         "_pos",
@@ -25,22 +31,15 @@ def _message_context(messages: DataFrame, block: int) -> DataFrame:
         back=1,
         ahead=1,
         block=block,
+        keep=True,
     )
-
-
-def messages_to_steps(messages: DataFrame, block: int = ordered.BLOCK) -> DataFrame:
-    """Each assistant message is a step; a user message right after it is its response.
-
-    messages(run_id, turn, role, text) -> (run_id, step_index, turn, content,
-    tool_response, current_input); `current_input` is a user message right before it.
-    """
-    context = _message_context(messages, block)
     counted = ordered.running(
         context,
         "run_id",
         "_pos",
         {"_steps": ("sum", (F.col("role") == "assistant").cast("int"))},
         block=block,
+        longs=longs,
     )
     return counted.where(F.col("role") == "assistant").select(
         "run_id",
@@ -128,7 +127,7 @@ def slow_progress(
 ) -> DataFrame:
     """Was a run exploring: over half of its last assistant texts distinct?
 
-    The last texts are kept by a top-k aggregate per run, never by a full sort.
+    The texts are numbered, and only the last ones of each run are gathered.
     """
     texts = messages.where(F.col("role") == "assistant").select(
         "run_id", "turn", F.substring(F.coalesce("text", F.lit("")), 1, prefix).alias("head")
@@ -215,20 +214,20 @@ def map_taxonomy(df: DataFrame, module: str = "module", subtype: str = "subtype"
         tx.module_type_table(df.sparkSession)
         .where(F.col("module") != "others")
         .select(
-            F.col("module").alias("_module"),
-            F.col("error_type").alias("_subtype"),
-            F.col("tag").alias("_tag"),
+            F.col("module").alias("_dim_module"),
+            F.col("error_type").alias("_dim_subtype"),
+            F.col("tag").alias("_dim_tag"),
         )
     )
     return (
         df.join(
             F.broadcast(dim),  # 18 fixed rows
-            (normal_module(F.col(module)) == F.col("_module"))
-            & (normal_subtype(F.col(subtype)) == F.col("_subtype")),
+            (normal_module(F.col(module)) == F.col("_dim_module"))
+            & (normal_subtype(F.col(subtype)) == F.col("_dim_subtype")),
             "left",
         )
-        .withColumn("tag", F.coalesce("_tag", F.lit("other")))
-        .drop("_module", "_subtype", "_tag")
+        .withColumn("tag", F.coalesce("_dim_tag", F.lit("other")))
+        .drop("_dim_module", "_dim_subtype", "_dim_tag")
     )
 
 

@@ -16,6 +16,20 @@ def _clean_items(items: Column) -> Column:
     return F.when(F.size(items) >= 2, F.filter(flat, lambda m: m != "")).otherwise(F.expr(_NONE))
 
 
+def _taken(way: str):
+    def build(items: Column) -> Column:
+        return F.when(
+            F.size(items) >= 2,
+            F.struct(
+                F.transform(items, lambda s: F.substring(s, 1, 200)).alias("items"),
+                F.lit(False).alias("is_fallback"),
+                F.lit(way).alias("strategy"),
+            ),
+        )
+
+    return build
+
+
 def plan_items(plan: Column) -> Column:
     """struct(items, is_fallback, strategy) of a plan text.
 
@@ -45,20 +59,7 @@ def plan_items(plan: Column) -> Column:
                 F.lit("Execute task: "), F.regexp_replace(F.substring(text, 1, 200), "\n", " ")
             )
         )
-        tries = [
-            tt.let(
-                items,
-                lambda i, way=way: F.when(
-                    F.size(i) >= 2,
-                    F.struct(
-                        F.transform(i, lambda s: F.substring(s, 1, 200)).alias("items"),
-                        F.lit(False).alias("is_fallback"),
-                        F.lit(way).alias("strategy"),
-                    ),
-                ),
-            )
-            for way, items in ways
-        ]
+        tries = [tt.let(items, _taken(way)) for way, items in ways]
         return F.coalesce(
             *tries,
             F.struct(

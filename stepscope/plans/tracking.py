@@ -351,7 +351,7 @@ def state_struct(pos: Column, at: Column) -> Column:
 def subgoal_state(
     steps: DataFrame,
     tracked: DataFrame,
-    longs: DataFrame | None = None,
+    longs=ordered.LOOK_UP,
     block: int = ordered.BLOCK,
 ) -> DataFrame:
     """Add struct `state` (after the step) and `transition` (at the step, or null)."""
