@@ -239,6 +239,7 @@ def d12(spark, sf):
     return mining.mine_patterns(
         judged.select("run_id", "root_cause_error_type", "root_cause_step_index", "justification"),
         judged.select("run_id", "true_type"),
+        threshold=0.1,
         words=["ther", "tion", "que", "ung", "los"],
     )
 
