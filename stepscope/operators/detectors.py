@@ -204,28 +204,35 @@ def assess_steps(
         {"matches_so_far": ("sum", F.col("match").isNotNull().cast("int"))},
         block=block, longs=longs,
     )
-    with_state = tracking.subgoal_state(counted, tracked, longs, block)
-    state = F.col("state")
-    with_drift = with_state.withColumn(
-        "drift",
-        drift.from_state(
-            state, F.col("step_index") + 1, F.col("matches_so_far"), F.col("step_index"), threshold
-        ),
-    )
-    trigger = reflection.trigger_type(
-        F.col("step_index"), F.col("transition").isNotNull(), interval
+    joined = ordered.join_runs(counted, tracked, longs=longs, block=block).withColumn(
+        "transition", tracking.own_transition()
     )
-    return with_drift.withColumn(
-        "reflection",
-        reflection.reflect(
-            trigger,
-            F.col("step_index"),
-            state["failed_subgoals_count"],
-            state["stalled_advanced_subgoals_count"],
-            state["current_subgoal_id"],
-            F.col("drift"),
-            F.col("match"),
-        ),
+    step, match = F.col("step_index"), F.col("match")
+    trigger = reflection.trigger_type(step, F.col("transition").isNotNull(), interval)
+
+    def with_state(state: Column) -> Column:
+        verdict = drift.from_state(state, step + 1, F.col("matches_so_far"), step, threshold)
+        return tt.let(
+            verdict,
+            lambda d: F.struct(
+                state.alias("state"),
+                d.alias("drift"),
+                reflection.reflect(
+                    trigger, step, state["failed_subgoals_count"],
+                    state["stalled_advanced_subgoals_count"], state["current_subgoal_id"],
+                    d, match,
+                ).alias("reflection"),
+            ),
+        )
+
+    # One nested expression: a filter on its result, when pushed down, then repeats it
+    # once and not once per reference between its parts.
+    whole = tt.let(tracking.state_struct(step, tracking.step_stamp(counted)), with_state)
+    parts = ["state", "drift", "reflection"]
+    return (
+        joined.withColumn("_a", whole)
+        .withColumns({name: F.col(f"_a.{name}") for name in parts})
+        .drop("_a", *tracking.TRACKED)
     )
 
 

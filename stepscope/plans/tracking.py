@@ -89,7 +89,7 @@ def track(
     longest = subgoals.agg(F.coalesce(F.max("total_subgoals"), F.lit(0)).alias("n"))
     early = steps.where(F.col("step_index") < longest.scalar() * cap)
     flags = step_flags(early)
-    stamp = F.col("timestamp").cast("double") if "timestamp" in steps.columns else F.lit(None).cast("double")
+    stamp = step_stamp(steps)
     feed = flags.select(
         "run_id",
         F.struct(
@@ -348,6 +348,25 @@ def state_struct(pos: Column, at: Column) -> Column:
     return tt.let(so_far, build)
 
 
+TRACKED = [
+    "subgoal_ids", "descriptions", "is_fallback", "total_subgoals", "transitions",
+    "active_no", "first_at",
+]
+
+
+def step_stamp(steps: DataFrame) -> Column:
+    stamp = F.col("timestamp") if "timestamp" in steps.columns else F.lit(None)
+    return stamp.cast("double")
+
+
+def own_transition() -> Column:
+    """The transition that the step itself brought about, or null."""
+    here = F.filter(
+        F.col("transitions"), lambda t: (t["step"] == F.col("step_index")) & ~t["host"]
+    )
+    return F.try_element_at(here, F.lit(1))
+
+
 def subgoal_state(
     steps: DataFrame,
     tracked: DataFrame,
@@ -356,15 +375,10 @@ def subgoal_state(
 ) -> DataFrame:
     """Add struct `state` (after the step) and `transition` (at the step, or null)."""
     joined = ordered.join_runs(steps, tracked, longs=longs, block=block)
-    at = F.col("timestamp").cast("double") if "timestamp" in steps.columns else F.lit(None).cast("double")
-    here = F.filter(
-        F.col("transitions"), lambda t: (t["step"] == F.col("step_index")) & ~t["host"]
-    )
     return (
-        joined.withColumn("state", state_struct(F.col("step_index"), at))
-        .withColumn("transition", F.try_element_at(here, F.lit(1)))
-        .drop("subgoal_ids", "descriptions", "is_fallback", "total_subgoals",
-              "transitions", "active_no", "first_at")
+        joined.withColumn("state", state_struct(F.col("step_index"), step_stamp(steps)))
+        .withColumn("transition", own_transition())
+        .drop(*TRACKED)
     )
 
 
