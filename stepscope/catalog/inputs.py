@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepscope import taxonomy as tx
 from stepscope.operators import ordered
-from stepscope.session import cut, tune
+from stepscope.session import cut, spread, tune
 
 PLAN_CYCLE = ["click", "view", "signup", "purchase", "view", "click"]
 PLAN_ITEMS = 12
@@ -62,12 +62,13 @@ def plan_text() -> str:
 
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id")).agg(
-        F.lit(1).alias("_x")
+        F.count(F.lit(1)).alias("_n")
     )
+    # The text hangs on the count so that it is parsed per run, not per event.
     return users.select(
         "run_id",
         F.lit("finish the purchase").alias("task_description"),
-        F.lit(plan_text()).alias("proposed_plan"),
+        F.when(F.col("_n") > 0, F.lit(plan_text())).alias("proposed_plan"),
     )
 
 
@@ -106,7 +107,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 # The same mappings in SQL, for the oracles.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepscope import taxonomy as tx
+from stepscope.config import Settings
 from stepscope.functions import text as tt
 from stepscope.operators import ordered
 from stepscope.plans import checks, drift, reflection, tracking
@@ -310,22 +311,25 @@ def verdicts(assessed: DataFrame, block_on_critical: bool = False) -> DataFrame:
 def check_steps(
     steps: DataFrame,
     plans: DataFrame,
-    settings=None,
+    settings: Settings | None = None,
     near: DataFrame | None = None,
     boundaries: DataFrame | None = None,
     use_task: bool = True,
+    tracked: DataFrame | None = None,
     **match_options,
 ) -> DataFrame:
-    """The whole step check: match, subgoal state, drift, reflection, verdict."""
-    from stepscope.config import Settings
+    """The whole step check: match, subgoal state, drift, reflection, verdict.
 
+    `tracked` is a result of `tracking.track` for the same steps and plans, if at hand.
+    """
     settings = settings or Settings()
     block = match_options.get("block", ordered.BLOCK)
     longs = ordered.long_runs(steps, "run_id", "step_index", block)
     matched = match_steps(
         steps, tasks=plans if use_task else None, near=near, longs=longs, **match_options
     )
-    tracked = tracking.track(steps, plans, settings.max_subgoal_steps, boundaries)
+    if tracked is None:
+        tracked = tracking.track(steps, plans, settings.max_subgoal_steps, boundaries)
     assessed = assess_steps(
         matched, tracked, settings.drift_threshold, settings.reflection_step_interval, block, longs
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stepscope.config import Settings
 from stepscope.operators import detectors, vectors
 from stepscope.plans import checks, summary, tracking
+from stepscope.session import cut
 
 
 @dataclass(frozen=True)
@@ -51,10 +52,11 @@ def evaluate_trajectories(
             both, patterns, idf, ["run_id"], thresholds=settings.category_thresholds,
             default_threshold=settings.similarity_threshold,
         )
+    # One small row per run, read three times below.
+    tracked = cut(tracking.track(steps, plans, settings.max_subgoal_steps, boundaries))
     checked = detectors.check_steps(
-        steps, plans, settings, near=near, boundaries=boundaries, **match_options
+        steps, plans, settings, near=near, tracked=tracked, **match_options
     )
-    tracked = tracking.track(steps, plans, settings.max_subgoal_steps, boundaries)
     return Evaluation(
         plans=checks.check_plans(plans, near_plans, settings.block_on_critical),
         steps=checked,
