@@ -198,7 +198,21 @@ def _found(spark, sf):
     )
 
 
-@query("g16_parse_judgment")
+_EARLY = "(run_id % 5 = 3 AND critical_step = 1 AND critical_module IN ('memory', 'reflection'))"
+
+
+@query(
+    "g16_parse_judgment",
+    with_(_FOUND_SQL) + f"""SELECT run_id,
+       (['json', 'trailing_comma', 'literal', 'salvaged', 'parse_error'])[run_id % 5 + 1] AS parse_stage,
+       CASE WHEN run_id % 5 = 4 THEN 1 ELSE critical_step END AS critical_step,
+       CASE WHEN run_id % 5 = 4 OR {_EARLY} THEN 'unknown' ELSE critical_module END AS critical_module,
+       CASE WHEN run_id % 5 = 4 THEN 'parse_error' WHEN {_EARLY} THEN 'analysis_error' ELSE error_type END AS error_type,
+       FALSE AS error_detected,
+       CASE WHEN run_id % 5 = 4 THEN 'Failed to parse analysis'
+            WHEN run_id % 5 = 3 THEN 'Parse error - partial extraction' ELSE 'No evidence provided' END AS evidence,
+       ([0.5, 0.5, 0.5, 0.3, 0.0])[run_id % 5 + 1]::DOUBLE AS confidence FROM found""",
+)
 def g16(spark, sf):
     """Findings written out the ways a judge writes them, then read back."""
     kind = F.col("run_id") % 5

@@ -20,6 +20,16 @@ def contains_sql(col: str, words) -> str:
     return "(" + " OR ".join(f"contains({col}, {tt.sql_text(w)})" for w in words) + ")"
 
 
+_TOKEN_LINE = (r"(?i)(\btoken\s*[:=]\s*[\"'])([A-Za-z0-9_\-\.]{20,})([\"'])", "$1***REDACTED***$3")
+
+
+def _redact_sql(col: str, extra=()) -> str:
+    for pattern, replacement in [*tx.CREDENTIALS, *extra]:
+        back = replacement.replace("$", "\\")
+        col = f"regexp_replace({col}, '{pattern.replace(chr(39), chr(39) * 2)}', '{back}', 'g')"
+    return col
+
+
 # ---- sources ----
 
 @query(
@@ -68,7 +78,12 @@ def a5(spark, sf):
     return records.merge_judgments(one.unionByName(two))
 
 
-@query("a8_clean_runs")
+@query(
+    "a8_clean_runs",
+    with_(src.STEPS_SQL, src.RUNS_SQL) + """
+    SELECT * FROM runs r WHERE NOT (total_steps_taken = 1 AND EXISTS (
+      SELECT 1 FROM steps s WHERE s.run_id = r.run_id AND s.action_name = 'error'))""",
+)
 def a8(spark, sf):
     """Runs that a clean-run tree holds: no noise, first of each task and trial."""
     kept = quality.split_infra_noise(
@@ -101,7 +116,11 @@ def a9(spark, sf):
     return run_source.upsert_runs(current, incoming)
 
 
-@query("a10_redacted_log_rows")
+@query(
+    "a10_redacted_log_rows",
+    f"""SELECT 'step' AS type, doc_id AS session_id, md5({_redact_sql('text')}) AS text_md5,
+        source FROM documents""",
+)
 def a10(spark, sf):
     """Rows as the session log gets them: credentials masked in every text column."""
     docs = src.table(spark, sf, "documents").select(
@@ -280,7 +299,24 @@ def b5(spark, sf):
     return shaping.slow_progress(src.messages(spark, sf), minimum=2)
 
 
-@query("b6_convert_records")
+@query(
+    "b6_convert_records",
+    with_(_PAIRS_SQL) + f""", typed AS (
+      SELECT *, {_MODULES_SQL}[n_chars % 7 + 1] AS m, {_TYPES_SQL}[doc_id % 19 + 1] AS t FROM documents),
+    named AS (SELECT *, CASE m WHEN 'plan' THEN 'planning' ELSE m END AS nm,
+      CASE lower(trim(t)) WHEN 'plan_inefficient' THEN 'inefficient_plan' ELSE lower(trim(t)) END AS nt FROM typed)
+    SELECT '1.0' AS schema_version, CAST(doc_id AS VARCHAR) AS run_id, lang AS task_id, 1 AS trial_number,
+           'fail' AS final_status, CAST(1 + n_chars % 40 AS INTEGER) AS total_steps_taken,
+           greatest(doc_id % 5 - 1, 0) AS root_cause_step_index,
+           coalesce(p.tag, 'other') AS root_cause_error_type,
+           CASE WHEN nt <> '' THEN 1.0 END::DOUBLE AS tag_confidence,
+           'agenterrorbench_import' AS tag_source, 'agenterrorbench' AS source_dataset,
+           'train' AS source_split, source AS source_llm_model, nm AS original_module,
+           nullif(nt, '') AS original_subtype, nt = '' AS original_subtype_missing,
+           CASE WHEN nt = 'step_limit' THEN TRUE END AS likely_root_cause_was_inefficient_planning,
+           CAST(NULL AS VARCHAR) AS reject_reason
+    FROM named n LEFT JOIN pairs p ON p.module = n.nm AND p.subtype = n.nt""",
+)
 def b6(spark, sf):
     """Documents as benchmark records; their conversation is the chat of the same number."""
     modules = F.array(*[F.lit(m) for m in tx.ANNOTATION_KEYS])
@@ -354,20 +390,10 @@ def b11(spark, sf):
     )
 
 
-_TOKEN_LINE = (r"(?i)(\btoken\s*[:=]\s*[\"'])([A-Za-z0-9_\-\.]{20,})([\"'])", "$1***REDACTED***$3")
-
-
-def _redact_sql(col: str) -> str:
-    for pattern, replacement in [*tx.CREDENTIALS, _TOKEN_LINE]:
-        back = replacement.replace("$", "\\")
-        col = f"regexp_replace({col}, '{pattern.replace(chr(39), chr(39) * 2)}', '{back}', 'g')"
-    return col
-
-
 @query(
     "b12_redact",
     f"""SELECT doc_id, md5(t) AS text_md5, contains(t, '***REDACTED***') AS masked
-        FROM (SELECT doc_id, {_redact_sql('text')} AS t FROM documents)""",
+        FROM (SELECT doc_id, {_redact_sql('text', [_TOKEN_LINE])} AS t FROM documents)""",
 )
 def b12(spark, sf):
     docs = src.table(spark, sf, "documents").select(
@@ -520,7 +546,11 @@ def b18(spark, sf):
     )
 
 
-@query("b19_extract_text_edits")
+@query(
+    "b19_extract_text_edits",
+    """SELECT doc_id, 0 AS edit_no, source || '.py' AS path, 'diff' AS format, lang AS search,
+              md5(text) AS replace_md5 FROM documents""",
+)
 def b19(spark, sf):
     """Each document as a reply that rewrites a file named after it."""
     docs = src.table(spark, sf, "documents").select(
@@ -608,7 +638,18 @@ def b23(spark, sf):
     )
 
 
-@query("b7_transcript_to_steps")
+@query(
+    "b7_transcript_to_steps",
+    """WITH lines AS (
+         SELECT user_id AS run_id, row_number() OVER w - 1 AS turn, epoch_us(ts) / 1e6 AS "timestamp",
+                event_type, props, lead(event_type) OVER w AS following
+         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+       SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY turn) - 1 AS step_index, turn,
+              "timestamp", event_type AS reasoning, event_type AS action_name,
+              '{"k":"' || json_extract_string(props, '$.k') || '"}' AS action_args,
+              CASE WHEN following IN ('error', 'purchase') THEN following END AS tool_response
+       FROM lines WHERE event_type IN ('click', 'view')""",
+)
 def b7(spark, sf):
     """Events as a transcript: clicks and views plan, errors and purchases answer them."""
     events = src.table(spark, sf, "events")

@@ -163,10 +163,8 @@ def parse_judgment(text: Column) -> Column:
     candidates = F.regexp_extract_all(bare, F.lit(_BALANCED), F.lit(0))
 
     def read(c: Column, tolerant: bool) -> Column:
-        options = {"mode": "PERMISSIVE"}
-        if tolerant:
-            options["allowSingleQuotes"] = "true"
-        return F.from_json(c, _FIELDS, options)
+        quotes = "true" if tolerant else "false"
+        return F.from_json(c, _FIELDS, {"allowSingleQuotes": quotes})
 
     def no_commas(c: Column) -> Column:
         return F.regexp_replace(c, r",(\s*[}\]])", "$1")
