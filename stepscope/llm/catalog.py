@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from stepscope.llm.langid import op1_language_id
+from stepscope.llm.quality import op2_quality_rules
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_quality_rules": op2_quality_rules,
 }
 SQL: dict[str, str] = {}
