@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,7 +36,7 @@ ENDS = (b".", b"!", b"?")
 
 MEASURES = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_upper", "n_lower", "n_digits", "n_punct", "n_distinct", "n_ends",
+    "n_lines", "n_upper", "n_lower", "n_digits", "n_punct", "n_distinct", "n_ends", "n_marks", "n_stutter",
 ]
 
 
@@ -77,6 +78,8 @@ def measure(text: bytes | None) -> tuple:
         count(PUNCTUATION),
         len(set(words)),
         sum(w.endswith(ENDS) for w in words),
+        len(words) - len(text.translate(None, PUNCTUATION).split()),  # words of marks alone
+        sum(map(eq, words, words[1:])),  # words equal to the one before
     )
 
 
@@ -104,10 +107,12 @@ def _per(top: str, bottom: str) -> Callable[[dict], np.ndarray]:
 RULES = [
     Rule("symbols", _per("n_symbols", "n_words"), 0.02, 0.1),
     Rule("punctuation", _per("n_punct", "n_words"), 0.35, 0.7),
+    Rule("marks", _per("n_marks", "n_words"), 0.03, 0.2),
     Rule("capitals", lambda m: m["n_upper"] / np.maximum(m["n_upper"] + m["n_lower"], 1), 0.15, 0.4),
     Rule("word_length", lambda m: np.abs(m["word_chars"] / np.maximum(m["n_words"], 1) - 5.5), 2.5, 5.5),
     Rule("repeated", _per("n_repeat_words", "n_words"), 0.05, 0.2),
-    Rule("lines", _per("n_dup_lines", "n_lines"), 0.02, 0.3, least=20),
+    Rule("stutter", _per("n_stutter", "n_words"), 0.05, 0.2),
+    Rule("lines", _per("n_dup_lines", "n_lines"), 0.02, 0.4, least=20),
     Rule("variety", _per("n_distinct", "n_words"), 0.25, 0.1, least=50),
     Rule("sentences", lambda m: np.abs(m["n_ends"] / np.maximum(m["n_words"], 1) - 0.12), 0.11, 0.4, least=20),
     Rule("digits", _per("n_digits", "word_chars"), 0.05, 0.25),
