@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from stepscope.llm.langid import op1_language_id
 from stepscope.llm.quality import op2_quality_rules
+from stepscope.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity": op3_toxicity,
 }
 SQL: dict[str, str] = {}
