@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from stepscope.llm.langid import op1_language_id
 from stepscope.llm.quality import op2_quality_rules
+from stepscope.llm.tiles import op8_simhash_tiles
 from stepscope.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
+    "op8_simhash_tiles": op8_simhash_tiles,
 }
 SQL: dict[str, str] = {}
