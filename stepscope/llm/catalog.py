@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from stepscope.llm.langid import op1_language_id
 from stepscope.llm.quality import op2_quality_rules
+from stepscope.llm.secrets import op10_secret_scan
 from stepscope.llm.tiles import op8_simhash_tiles
 from stepscope.llm.toxicity import op3_toxicity
+from stepscope.llm.urls import op4_url_verdicts
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
+    "op4_url_verdicts": op4_url_verdicts,
     "op8_simhash_tiles": op8_simhash_tiles,
+    "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {}
