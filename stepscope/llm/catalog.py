@@ -8,13 +8,15 @@ from stepscope.llm.secrets import op10_secret_scan
 from stepscope.llm.tiles import op8_simhash_tiles
 from stepscope.llm.toxicity import op3_toxicity
 from stepscope.llm.urls import op4_url_verdicts
+from stepscope.llm.warc import OP5_SQL, op5_warc_normalise
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
     "op4_url_verdicts": op4_url_verdicts,
+    "op5_warc_normalise": op5_warc_normalise,
     "op8_simhash_tiles": op8_simhash_tiles,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL: dict[str, str] = {}
+SQL = {"op5_warc_normalise": OP5_SQL}

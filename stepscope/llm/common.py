@@ -56,8 +56,9 @@ def map_texts(
     """Run a function of lists of texts over a column, in Arrow batches, without a shuffle.
 
     `work` is called once per task and returns that function, which gets texts (bytes
-    if `raw`, None for null) and returns a list or array per field. Columns of `keep`
-    pass through; a kept column with the name of a new one gives way to it.
+    if `raw`, None for null) and returns a list or array per field. With a list `_row`
+    beside them, of the text each value belongs to, a text may give any number of rows.
+    Columns of `keep` pass through; a kept column with the name of a new one gives way.
     """
     arrow_limits(df.sparkSession)
     names = {f.name for f in fields}
@@ -72,6 +73,8 @@ def map_texts(
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 made = apply(part.column(len(keep)).cast(kind).to_pylist())
+                if "_row" in made:
+                    part = part.take(pa.array(made["_row"], pa.int64()))
                 arrays = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
                 arrays += [pa.array(made[f.name], arrow.field(f.name).type) for f in fields]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
