@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stepscope.llm.langid import op1_language_id
+from stepscope.llm.packing import op6_best_fit_packing
 from stepscope.llm.quality import op2_quality_rules
 from stepscope.llm.secrets import op10_secret_scan
 from stepscope.llm.tiles import op8_simhash_tiles
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_url_verdicts": op4_url_verdicts,
     "op5_warc_normalise": op5_warc_normalise,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_simhash_tiles": op8_simhash_tiles,
     "op10_secret_scan": op10_secret_scan,
 }

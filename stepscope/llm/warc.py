@@ -288,10 +288,10 @@ WITH rows AS (
         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS winner
     FROM pages),
 digits AS (
-    SELECT *, list_transform(range(0, 8), i -> ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) AS quads
+    SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) AS quads
     FROM rows)
 SELECT page_id, payload_bytes,
-    array_to_string(list_transform(quads, q ->
+    array_to_string(list_transform(quads, lambda q:
         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((q >> 15) & 31) + 1, 1)
         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((q >> 10) & 31) + 1, 1)
         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((q >> 5) & 31) + 1, 1)
