@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stepscope.llm.langid import op1_language_id
 from stepscope.llm.packing import op6_best_fit_packing
+from stepscope.llm.pieces import op7_sentencepiece
 from stepscope.llm.quality import op2_quality_rules
 from stepscope.llm.secrets import op10_secret_scan
 from stepscope.llm.tiles import op8_simhash_tiles
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_url_verdicts": op4_url_verdicts,
     "op5_warc_normalise": op5_warc_normalise,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash_tiles": op8_simhash_tiles,
     "op10_secret_scan": op10_secret_scan,
 }

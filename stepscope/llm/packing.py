@@ -21,6 +21,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ END = 2  # id behind each document
 GROUPS = 128
 SMALL = 8  # lengths up to capacity / SMALL are small
 ROUNDS = 1000  # of column generation, at most
-CACHE = 200_000  # words a task remembers
+CACHE = 200_000  # words a worker remembers
 
 # The words of the byte-level pattern for texts of ASCII and Latin-1 letters and digits;
 # texts with other characters go through the library as a whole.
@@ -77,12 +78,19 @@ class Encoder:
         split = [WORD.findall(t) if PLAIN.fullmatch(t) else None for t in texts]
         missing = list(set().union(*[s for s in split if s is not None]) - self.known.keys())
         fresh = dict(zip(missing, self.words(missing), strict=True))
-        if len(self.known) + len(fresh) <= CACHE:
-            self.known |= fresh
-            fresh = {}
-        get = (self.known | fresh).__getitem__ if fresh else self.known.__getitem__
+        known, room = self.known, CACHE - len(self.known)
+        if len(fresh) <= room:
+            known |= fresh
+        elif room > 0:
+            known |= dict(zip(missing[:room], map(fresh.__getitem__, missing[:room])))
         whole = iter(self.words([t for t, s in zip(texts, split) if s is None]))
-        return [next(whole) if s is None else b"".join(map(get, s)) for s in split]
+        return [next(whole) if s is None else b"".join([known.get(w) or fresh[w] for w in s]) for s in split]
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder with its memory for all tasks of a worker."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, keep: list[str], path: Callable[[], str] = tokenizer_path, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
@@ -94,7 +102,7 @@ def pieces(docs: DataFrame, keep: list[str], path: Callable[[], str] = tokenizer
     """
 
     def work():
-        encoder, seen = Encoder(path()), {}
+        encoder, seen = encoder_of(path()), {}
         task = TaskContext.get()
         part = task.partitionId() if task else 0
         end = np.array([END], "<u4").tobytes()
