@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stepscope.llm.fingerprints import op9_fingerprints
 from stepscope.llm.langid import op1_language_id
 from stepscope.llm.packing import op6_best_fit_packing
 from stepscope.llm.pieces import op7_sentencepiece
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash_tiles": op8_simhash_tiles,
+    "op9_fingerprints": op9_fingerprints,
     "op10_secret_scan": op10_secret_scan,
 }
 SQL = {"op5_warc_normalise": OP5_SQL}
