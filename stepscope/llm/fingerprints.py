@@ -1,7 +1,7 @@
 """SimHash fingerprints of documents, in DataFrame operations only (operator 9).
 
-The terms of a text are its distinct words and its distinct pairs of neighbouring words,
-which weigh twice as much. The hash of each term votes on 128 signed bits with the term's
+The terms of a text are its pairs of neighbouring words, which weigh twice their number,
+and its distinct words, which weigh one each. The hash of each term votes on 128 signed bits with the term's
 weight; a bit is set if more than half of the weight says so. Votes are summed two bits to
 a long, 32 bits each, so that 64 sums carry all 128.
 
@@ -31,7 +31,7 @@ STEPS = 64  # quantiles of the ids that buckets are laid out by
 
 
 def terms(text: Column) -> Column:
-    """Structs of term and weight: distinct words, distinct pairs of neighbours."""
+    """Structs of term and weight: distinct words, and pairs of neighbours as often as they occur."""
     words = F.filter(F.split(text, WHITE), lambda w: w != "")
     n = F.size(words)
     pairs = F.when(
@@ -45,7 +45,7 @@ def terms(text: Column) -> Column:
     weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).cast("long").alias("weight"))
     return F.concat(
         F.transform(F.array_distinct(words), weigh(WORD_WEIGHT)),
-        F.transform(F.array_distinct(pairs), weigh(PAIR_WEIGHT)),
+        F.transform(pairs, weigh(PAIR_WEIGHT)),
     )
 
 
