@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,13 +82,15 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit integers (the finalizer of MurmurHash3)."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Rename all columns so that none clashes with an operator's own; old name -> new name."""
+    names = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def back(names: dict[str, str]) -> list[Column]:
+    """The columns put aside, under their old names."""
+    return [F.col(new).alias(old) for old, new in names.items()]
 
 
 def balanced_sample(

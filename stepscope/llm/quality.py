@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepscope.llm.common import map_texts, stored, table
+from stepscope.llm.common import aside, back, map_texts, stored, table
 
 MIN_WORDS = 10
 MAX_REPEATED = 20  # percent of words in repeated windows
@@ -217,6 +217,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     Votes are counted in a first pass and worked out again in the second, which is
     cheaper than storing every text once more.
     """
-    columns = docs.columns
     posterior = fit(patterns(measured(docs, [])))
-    return verdicts(measured(docs, columns), posterior).where("kept").select(*columns)
+    own, names = aside(docs)
+    judged = verdicts(measured(own, [*names.values()], names["text"]), posterior)
+    return judged.where("kept").select(*back(names))

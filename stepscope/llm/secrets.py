@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepscope.llm.common import map_texts, table
+from stepscope.llm.common import aside, map_texts, table
 
 KINDS = ("assign", "access", "hex", "key", "jwt")
 BASE = 3  # so many kinds are base kinds
@@ -231,6 +231,8 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
         return of
 
     new = [T.StructField("_clean", T.StringType()), T.StructField("_hit", T.BooleanType())]
-    made = map_texts(docs, work, new, [c for c in docs.columns if c != "text"], raw=True)
-    count = F.when(F.col("_hit"), F.char_length("_clean").cast("long")).otherwise(F.col("n_chars"))
-    return made.withColumns({"text": F.col("_clean"), "n_chars": count}).select(*docs.columns)
+    own, names = aside(docs)
+    made = map_texts(own, work, new, [n for c, n in names.items() if c != "text"], names["text"], raw=True)
+    count = F.when(F.col("_hit"), F.char_length("_clean").cast("long")).otherwise(F.col(names["n_chars"]))
+    changed = {"text": F.col("_clean"), "n_chars": count}
+    return made.select(*[changed.get(c, F.col(n)).alias(c) for c, n in names.items()])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepscope.llm.common import arrow_limits, map_texts, stored, table
+from stepscope.llm.common import arrow_limits, aside, back, map_texts, stored, table
 from stepscope.operators.components import components
 
 SHINGLE = 3  # words
@@ -260,7 +260,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     rows = stored(fingerprints(docs, ["doc_id"]), "fingerprints")
     roots = linked(rows).select(F.col("root_key").alias("_key"), F.col("root_fp").alias("_fp")).distinct()
-    marked = fingerprints(docs, docs.columns)
-    columns = [c for c in docs.columns if c != "fp"]
-    kept = marked.join(roots, marked["doc_id"].eqNullSafe(roots["_key"]) & (marked["fp"] == roots["_fp"]))
-    return kept.dropDuplicates(["doc_id", "fp"]).select(*columns)
+    own, names = aside(docs)
+    marked = fingerprints(own, [*names.values()], names["text"])
+    key = names["doc_id"]
+    kept = marked.join(roots, marked[key].eqNullSafe(roots["_key"]) & (marked["fp"] == roots["_fp"]))
+    return kept.dropDuplicates([key, "fp"]).select(*back(names))

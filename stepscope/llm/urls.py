@@ -50,16 +50,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def suffixes(host: str) -> tuple[int, int]:
-    """Hash buckets of the last label and of the last two labels of a host."""
+def suffixes(host: str, path: str) -> list[int]:
+    """Hash buckets of the host's last label, its last two, and these with the first folder."""
     labels = host.split(":")[0].split(".")
-    return tuple(zlib.crc32(".".join(labels[-n:]).encode()) % SUFFIX_BUCKETS for n in (1, 2))
+    one, two = (".".join(labels[-n:]) for n in (1, 2))
+    folder = "/".join(path.split("/")[:2])
+    return [zlib.crc32(s.encode()) % SUFFIX_BUCKETS for s in (one, two, two + folder)]
 
 
 FEATURES = (
     "length", "host_length", "path_length", "depth", "labels", "digit_share", "host_digits",
     "entropy", "parameters", "query_length", "hyphens", "escapes", "longest_label", "marks",
-    "secure", "suffix_rate", "suffix_seen", "domain_rate", "domain_seen",
+    "secure", "suffix_rate", "suffix_seen", "domain_rate", "domain_seen", "folder_rate", "folder_seen",
 )
 
 
@@ -75,13 +77,13 @@ def features(url: str | None, rates: np.ndarray) -> list[float]:
     share = share[share > 0] / n
     digits = int(((codes >= 48) & (codes <= 57)).sum())
     labels = host.split(".")
-    last, two = suffixes(host)
+    statistics = rates[suffixes(host, path)].ravel()
     return [
         len(url), len(host), len(path), path.count("/"), len(labels), digits / n,
         sum(c.isdigit() for c in host), float(-(share * np.log2(share)).sum()),
         query.count("=") + query.count("&"), len(query), host.count("-"), url.count("%"),
         max(map(len, labels)), sum(url.count(c) for c in "@_~;,"), url.startswith("https"),
-        rates[last, 0], rates[last, 1], rates[two, 0], rates[two, 1],
+        *statistics,
     ]
 
 
@@ -157,14 +159,13 @@ def fit(x: np.ndarray, y: np.ndarray, rates: np.ndarray) -> Model:
 
 
 def suffix_rates(labelled: DataFrame) -> np.ndarray:
-    """Share of block and log count per suffix bucket, over all labelled (host, blocked) rows."""
-    bucket = [
-        F.crc32(F.array_join(F.slice(F.split(F.split("host", ":")[0], r"\."), -n, n), ".").cast("binary")) % SUFFIX_BUCKETS
-        for n in (1, 2)
-    ]
-    two = F.size(F.split(F.split("host", ":")[0], r"\.")) >= 2
-    bucket[1] = F.when(two, bucket[1]).otherwise(bucket[0])
-    rows = labelled.select("blocked", F.explode(F.array_distinct(F.array(*bucket))).alias("bucket"))
+    """Share of block and log count per suffix bucket, over all labelled rows of host, path and blocked."""
+    labels = F.split(F.split("host", ":")[0], r"\.")
+    last = F.element_at(labels, -1)
+    two = F.when(F.size(labels) > 1, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(last)
+    folder = F.concat(two, F.array_join(F.slice(F.split("path", "/"), 1, 2), "/"))
+    buckets = [F.crc32(c.cast("binary")) % SUFFIX_BUCKETS for c in (last, two, folder)]
+    rows = labelled.select("blocked", F.explode(F.array(*buckets)).alias("bucket"))
     # At most SUFFIX_BUCKETS rows, whatever the number of hosts.
     seen = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("long")).alias("k"))
     total = np.zeros((SUFFIX_BUCKETS, 2))
@@ -176,7 +177,7 @@ def suffix_rates(labelled: DataFrame) -> np.ndarray:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from rows of url, host and blocked (boolean).
+    """Learn from rows of url, host, path and blocked (boolean).
 
     Suffix statistics count all of them, the trees see a bounded sample of each verdict.
     """
@@ -215,7 +216,7 @@ def judge(pages: DataFrame, rules=RULES, keep: list[str] = ["page_id"]) -> DataF
     for word, rule in rules:
         verdict = F.when(F.col("rule") == rule, word).otherwise(verdict)
     ruled = ruled.withColumn("_said", verdict)
-    labelled = ruled.where("_said is not null").select("url", "host", (F.col("_said") == "block").alias("blocked"))
+    labelled = ruled.where("_said is not null").select("url", "host", "path", (F.col("_said") == "block").alias("blocked"))
     scored = predict(ruled, train(labelled), [*keep, "host", "path", "rule", "_said"])
     learned = F.when(F.col("risk") >= 0.5, "block").otherwise("allow")
     return scored.withColumn("verdict", F.coalesce("_said", learned)).drop("_said")
