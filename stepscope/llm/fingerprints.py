@@ -160,7 +160,8 @@ def in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     width = F.array(*[F.lit(max(1, -(-(b - a) // parts))).cast("long") for a, b in zip(bounds, [*bounds[1:], bounds[-1] + 1])])
     step = F.greatest(F.size(F.filter(lows, lambda b: b <= F.col(key))), F.lit(1))
     inside = F.least(F.lit(parts - 1), F.floor((F.col(key) - F.element_at(lows, step)) / F.element_at(width, step)))
-    bucket = F.coalesce(step.cast("long") * parts + F.greatest(inside, F.lit(0)), F.lit(-1).cast("long"))
+    numbered = step.cast("long") * parts + F.greatest(inside, F.lit(0))
+    bucket = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(numbered)
 
     # Which bucket follows which: ids only, at most BUCKETS + STEPS rows.
     begins = docs.select(key).groupBy(bucket.alias("bucket")).agg(F.min(key).alias("first")).collect()
