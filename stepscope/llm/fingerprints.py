@@ -1,9 +1,10 @@
 """SimHash fingerprints of documents, in DataFrame operations only (operator 9).
 
-The terms of a text are its distinct words and its distinct pairs of neighbouring words,
-which weigh twice as much. The hash of each term votes on 128 signed bits with the term's
-weight; a bit is set if more than half of the weight says so. Votes are summed two bits to
-a long, 32 bits each, so that 64 sums carry all 128.
+The terms of a text are its distinct pairs of neighbouring words, or its only word. A pair
+of two long words weighs twice as much as others, since short words say little. The hash
+of each term votes on 128 signed bits with the term's weight; a bit is set if more than
+half of the weight says so. Votes are summed two bits to a long, 32 bits each, so that 64
+sums carry all 128.
 
 Fingerprints within a Hamming radius are found with block tables: the bits are cut into
 more blocks than may differ, so that some blocks agree; for every choice of these a table
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from stepscope.llm.common import stored, table
 
 BITS = 128
-WORD_WEIGHT, PAIR_WEIGHT = 1, 2
+LONG = 4  # letters of a long word
 WHITE = r"[\x20\x09-\x0D]+"
 LANES = 0x0000000100000001  # the lowest bits of both halves of a long
 HALVES = ("high", "low")
@@ -30,23 +31,24 @@ BUCKETS = 65_536  # buckets of documents, at the most
 STEPS = 64  # quantiles of the ids that buckets are laid out by
 
 
-def terms(text: Column) -> Column:
-    """Structs of term and weight: distinct words, distinct pairs of neighbours."""
-    words = F.filter(F.split(text, WHITE), lambda w: w != "")
-    n = F.size(words)
-    pairs = F.when(
-        n > 1,
-        F.zip_with(
-            F.slice(words, 1, F.greatest(n - 1, F.lit(0))),
-            F.slice(words, 2, F.greatest(n - 1, F.lit(0))),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).cast("long").alias("weight"))
-    return F.concat(
-        F.transform(F.array_distinct(words), weigh(WORD_WEIGHT)),
-        F.transform(F.array_distinct(pairs), weigh(PAIR_WEIGHT)),
+def terms(texts: DataFrame, key: list[str], text: str) -> DataFrame:
+    """The key and t, hashes of the distinct terms; the lowest bit is set for a double weight.
+
+    Each array has a column of its own, so that none is worked out twice.
+    """
+    marked = lambda h, heavy: h.bitwiseAND(F.lit(-2)).bitwiseOR(heavy.cast("long"))
+    words = F.transform(
+        F.filter(F.split(F.col(text), WHITE), lambda w: w != ""),
+        lambda w: marked(F.xxhash64(w), F.char_length(w) >= LONG),
+    )
+    pairs = F.zip_with(
+        F.slice("w", 1, F.size("w") - 1),
+        F.slice("w", 2, F.size("w") - 1),
+        lambda a, b: marked(F.xxhash64(a, b), a.bitwiseAND(b).bitwiseAND(F.lit(1))),
     )
+    hashed = texts.select(*key, words.alias("w"))
+    paired = hashed.select(*key, F.when(F.size("w") > 1, pairs).otherwise(F.col("w")).alias("t"))
+    return paired.select(*key, F.array_distinct("t").alias("t"))
 
 
 def _sums(hashes: dict[str, Column]) -> list[Column]:
@@ -75,11 +77,12 @@ def simhash(texts: DataFrame, key: list[str], text: str) -> DataFrame:
     A text without terms, and a null one, has no set bit. Sums of weights stay below 2^32
     for texts of up to a billion words.
     """
-    each = texts.select(*key, F.explode_outer(terms(F.col(text))).alias("t")).select(
+    each = terms(texts, key, text).select(*key, F.explode_outer("t").alias("t"))
+    each = each.select(
         *key,
-        F.coalesce("t.weight", F.lit(0).cast("long")).alias("weight"),
-        F.xxhash64("t.term").alias("a"),
-        F.xxhash64("t.term", F.lit("second half")).alias("b"),
+        F.coalesce(F.col("t").bitwiseAND(F.lit(1)) + 1, F.lit(0).cast("long")).alias("weight"),
+        F.xxhash64("t", F.lit(0)).alias("a"),
+        F.xxhash64("t", F.lit(1)).alias("b"),
     )
     hashes = dict(zip(HALVES, (F.col("a"), F.col("b"))))
     votes = each.groupBy(*key).agg(F.sum("weight").alias("weight"), *_sums(hashes))
@@ -215,20 +218,22 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - quarter), F.substr("next", F.lit(1), quarter))
-    rows = rows.select("doc_id", "bucket", "place", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    key = ["bucket", "place", "doc_id", "n_chars", "edited_sha256"]
-    both = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(
-        *key,
-        F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in ((0, "text"), (1, "edited"))])).alias("v"),
-    )
-    prints = simhash(both.select(*key, "v.kind", "v.text"), [*key, "kind"], "text")
+    digest = F.sha2(edited.cast("binary"), 256)
+    # The key of the votes is made of longs, which hash fast: the digest is four of them.
+    parts = {f"s{i}": F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)}
+    key = ["bucket", "place", "doc_id", "n_chars", *parts]
+    rows = rows.select(
+        "bucket", F.col("place").cast("long").alias("place"), "doc_id", n.cast("long").alias("n_chars"),
+        *[c.alias(k) for k, c in parts.items()],
+        F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in ((0, F.col("text")), (1, edited))])).alias("v"),
+    )
+    prints = simhash(rows.select(*key, "v.kind", "v.text"), [*key, "kind"], "text")
     pick = lambda kind, half: F.max(F.when(F.col("kind") == kind, F.col(half)))
-    return stored(
-        prints.groupBy(*key).agg(
-            *[pick(0, h).alias(h) for h in HALVES], *[pick(1, h).alias(f"edited_{h}") for h in HALVES]
-        ),
-        "fingerprints",
+    both = prints.groupBy(*key).agg(
+        *[pick(0, h).alias(h) for h in HALVES], *[pick(1, h).alias(f"edited_{h}") for h in HALVES]
     )
+    shown_digest = F.lower(F.concat(*[F.lpad(F.hex(k), 16, "0") for k in parts]))
+    return stored(both.withColumn("edited_sha256", shown_digest).drop(*parts), "fingerprints")
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -249,23 +249,24 @@ def test_edited_texts_and_neighbours(spark, folder, documents, odd, none, clashi
 
 
 def test_votes_equal_brute_force(spark):
-    texts = ["", " one ", "a b a b a", "The cat, the dog; the Cat", "x\ty\nz" * 40]
-    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
-    hashed = {}
-    for r in rows.selectExpr("k", "text").collect():
-        words = [w for w in re.split(r"[\x20\x09-\x0d]+", r["text"]) if w]
-        terms = [(t, 1) for t in set(words)] + [(t, 2) for t in {f"{a} {b}" for a, b in zip(words, words[1:])}]
-        hashed[r["k"]] = terms
-    known = {t for v in hashed.values() for t, _ in v} or {""}
     from pyspark.sql import functions as F
 
-    table = spark.createDataFrame([(t,) for t in known], "t string").select("t", F.xxhash64("t").alias("a"), F.xxhash64("t", F.lit("second half")).alias("b"))
-    code = {r["t"]: (r["a"] % 2**64, r["b"] % 2**64) for r in table.collect()}
+    texts = ["", " one ", "a b a b a", "The cat, the longer dog; the Cat", "x\ty\nz" * 40, "alpha beta"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    hashed = lambda rows, kind: {
+        r[0]: r[1] for r in spark.createDataFrame(sorted(set(rows)), kind).select(F.struct("*") if "," in kind else "*", F.xxhash64("*")).collect()
+    }
+    split = [[w for w in re.split(r"[\x20\x09-\x0d]+", t) if w] for t in texts]
+    word = hashed([(w,) for ws in split for w in ws], "w string")
+    code = lambda w: word[w] & -2 | (len(w) >= 4)
+    pairs = [{(code(a), code(b)) for a, b in zip(ws, ws[1:])} for ws in split]
+    of_pair = {tuple(k): v for k, v in hashed([p for ps in pairs for p in ps], "a long, b long").items()}
+    terms = [{of_pair[p] & -2 | (p[0] & p[1] & 1) for p in ps} or {code(w) for w in ws} for ps, ws in zip(pairs, split)]
+    bits = {tuple(k): v % 2**64 for k, v in hashed([(t, s) for ts in terms for t in ts for s in (0, 1)], "t long, s int").items()}
     for r in fingerprints.simhash(rows, ["k"], "text").collect():
-        terms = hashed[r["k"]]
-        total = sum(w for _, w in terms)
-        for half, name in ((0, "high"), (1, "low")):
-            want = sum(1 << b for b in range(64) if 2 * sum(w for t, w in terms if code[t][half] >> b & 1) > total)
+        weight = {t: 1 + (t & 1) for t in terms[r["k"]]}
+        for s, name in ((0, "high"), (1, "low")):
+            want = sum(1 << b for b in range(64) if 2 * sum(w for t, w in weight.items() if bits[t, s] >> b & 1) > sum(weight.values()))
             assert r[name] % 2**64 == want
 
 
