@@ -210,24 +210,40 @@ _EARLY = "(run_id % 5 = 3 AND critical_step = 1 AND critical_module IN ('memory'
        CASE WHEN run_id % 5 = 4 THEN 'parse_error' WHEN {_EARLY} THEN 'analysis_error' ELSE error_type END AS error_type,
        FALSE AS error_detected,
        CASE WHEN run_id % 5 = 4 THEN 'Failed to parse analysis'
-            WHEN run_id % 5 = 3 THEN 'Parse error - partial extraction' ELSE 'No evidence provided' END AS evidence,
-       ([0.5, 0.5, 0.5, 0.3, 0.0])[run_id % 5 + 1]::DOUBLE AS confidence FROM found""",
+            WHEN run_id % 5 = 3 THEN 'Parse error - partial extraction'
+            WHEN run_id % 5 = 2 THEN 'No evidence provided' ELSE d.text END AS evidence,
+       ([0.5, 0.5, 0.5, 0.3, 0.0])[run_id % 5 + 1]::DOUBLE AS confidence,
+       CASE WHEN run_id % 5 < 2 THEN d.lang ELSE 'No root cause identified' END AS root_cause,
+       'No reasoning provided' AS reasoning, 'No guidance provided' AS correction_guidance,
+       CASE WHEN run_id % 5 < 2 THEN '[{{"a":{{"b":{{"c":{{"d":{{"e":[1]}}}}}}}}}}]' ELSE '[]' END AS cascading_effects
+    FROM found f JOIN documents d ON d.doc_id = f.run_id""",
 )
 def g16(spark, sf):
-    """Findings written out the ways a judge writes them, then read back."""
+    """Findings written out the ways a judge writes them, then read back.
+
+    The evidence is a whole document where the answer is JSON, and an effect is nested
+    six deep.
+    """
     kind = F.col("run_id") % 5
     body = F.format_string(
         '"critical_step": %d, "critical_module": "%s", "error_type": "%s"',
         F.col("critical_step"), F.col("critical_module"), F.col("error_type"),
     )
+    docs = src.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("run_id"), F.col("lang").alias("_lang"), F.col("text").alias("_text")
+    )
+    said = F.to_json(F.struct(F.col("_text").alias("evidence"), F.col("_lang").alias("root_cause")))
+    effects = F.lit('"cascading_effects": [{"a": {"b": {"c": {"d": {"e": [1]}}}}}]')
+    plain = F.concat(body, F.lit(", "), F.substr(said, F.lit(2), F.length(said) - 2), F.lit(", "), effects)
     text = (
-        F.when(kind == 0, F.concat(F.lit("{"), body, F.lit("}")))
-        .when(kind == 1, F.concat(F.lit("Here it is:\n```json\n{"), body, F.lit(",}\n```")))
+        F.when(kind == 0, F.concat(F.lit("{"), plain, F.lit("}")))
+        .when(kind == 1, F.concat(F.lit("Here it is:\n```json\n{"), plain, F.lit(",}\n```")))
         .when(kind == 2, F.concat(F.lit("{"), F.translate(body, '"', "'"), F.lit("}")))
         .when(kind == 3, F.concat(F.lit("broken { "), F.regexp_replace(body, '"', "")))
         .otherwise(F.lit("no verdict"))
     )
-    return _found(spark, sf).select("run_id", judging.parse_judgment(text).alias("j")).select("run_id", "j.*")
+    answers = _found(spark, sf).join(docs, "run_id").select("run_id", text.alias("answer"))
+    return answers.select("run_id", judging.parse_judgment(F.col("answer")).alias("j")).select("run_id", "j.*")
 
 
 _TAG_CASE = "CASE critical_module " + " ".join(f"WHEN '{m}' THEN '{t}'" for m, t in tx.MODULE_TAG.items()) + " ELSE 'other' END"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import uuid
 
 from pyspark.sql import functions as F
@@ -93,7 +95,7 @@ def drift_sql(name: str, source: str, stalled: str, failed: str, ratio: str, wit
            CASE WHEN s2 THEN 'Slow progress ratio (' || format('{{:.2f}}', ({ratio})::DOUBLE) || ' after ' || {total} || ' total steps, '
              || {within} || ' steps in active subgoal ''' || {subgoal} || ''')' END,
            CASE WHEN s3 THEN 'Accumulated subgoal failures: ' || {failed} || ' failed, ' || {stalled} || ' stalled-advanced' END,
-           CASE WHEN s4 THEN 'Pattern repetition drift: ' || {matches} || ' GuardInterface pattern flags triggered' END],
+           CASE WHEN s4 THEN 'Pattern repetition drift: ' || {matches} || ' step flags raised' END],
            lambda x: x IS NOT NULL), '; ') AS reasons
   FROM {name}_raw),
 {name} AS (SELECT *, score >= 0.35 AS drifted,
@@ -113,7 +115,7 @@ DRIFT_SQL = drift_sql(
 
 def reflect_sql(name: str, source: str, trigger: str, step: str, subgoal: str, match: bool) -> str:
     caught = (
-        "CASE WHEN m_conf >= 0.40 AND m_cat IN ('planning_error', 'reflection_error') THEN 'GuardInterface' END"
+        "CASE WHEN m_conf >= 0.40 AND m_cat IN ('planning_error', 'reflection_error') THEN 'StepCheck' END"
         if match else "NULL"
     )
     return f"""{name}_why AS (
@@ -335,7 +337,7 @@ def f3(spark, sf):
 
 
 def _host_events(spark, sf):
-    """Purchases of more than 60 as outside news: the third subgoal is done, or the active one."""
+    """Sign-ups as outside news: the third subgoal is done, or one that is not in the plan."""
     steps = src.stored_steps(spark, sf)
     return steps, steps.where(F.col("action_name") == "signup").select(
         "run_id",
@@ -573,19 +575,30 @@ def g13(spark, sf):
 
 
 def _score(payload: str) -> dict:
-    """A scorer without a model: the payload's length picks the answer."""
+    """A scorer without a model: the number of steps in the payload picks the answer."""
+    n = len(json.loads(payload)["steps"])
     return {
-        "root_cause_error_type": tx.TAGS[len(payload) % len(tx.TAGS)],
-        "root_cause_step_index": len(payload) % 5,
+        "root_cause_error_type": tx.TAGS[n % len(tx.TAGS)],
+        "root_cause_step_index": n % 5,
         "confidence": 0.5,
-        "root_cause_justification": f"payload of {len(payload)} characters",
+        "root_cause_justification": f"payload of {n} steps",
     }
 
 
-@query("g15_judge_batch")
+@query(
+    "g15_judge_batch",
+    with_(src.STEPS_SQL) + f""", sized AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM steps),
+    chosen AS (SELECT run_id, step_index // 1024 AS part, count(*) AS k FROM sized
+      WHERE n <= 6 OR step_index < 3 OR step_index >= n - 3 OR {contains_sql('lower(tool_response)', tx.SIGNAL_WORDS)}
+      GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY k % 5, part) AS rn FROM chosen)
+    SELECT run_id::VARCHAR AS run_id, ({tx.TAGS})[k % {len(tx.TAGS)} + 1] AS root_cause_error_type,
+       (k % 5)::INT AS root_cause_step_index, 0.5::DOUBLE AS confidence,
+       'payload of ' || k || ' steps' AS root_cause_justification FROM ranked WHERE rn = 1""",
+)
 def g15(spark, sf):
     payloads = judging.judge_payloads(src.stored_steps(spark, sf))
-    return judging.valid_answers(judging.judge_batch(payloads, _score))
+    return judging.one_judgment(judging.valid_answers(judging.judge_batch(payloads, _score)))
 
 
 # ---- live windows ----

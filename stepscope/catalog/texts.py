@@ -139,9 +139,9 @@ def d6(spark, sf):
 
 # Rules over words that are frequent in the tables.
 WORD_RULES = [
-    ("rule_one", "planning_error", "first rule", ["the+ther", "ing+tion", "ble"]),
-    ("rule_two", "memory_error", "second rule", ["eau+que", "ère"]),
-    ("rule_three", "tool_use_error", "third rule", ["sch+ung", "und+der", "ein", "ich+ver"]),
+    ("rule_one", "planning_error", "first rule", [("the", "ther"), ("ing", "tion"), ("ble",)]),
+    ("rule_two", "memory_error", "second rule", [("eau", "que"), ("ère",)]),
+    ("rule_three", "tool_use_error", "third rule", [("sch", "ung"), ("und", "der"), ("ein",), ("ich", "ver")]),
     ("rule_four", "other", "fourth rule", ["ción+los", "osa"]),
 ]
 
@@ -152,7 +152,7 @@ def rules_sql(low: str, rules) -> list[str]:
     for _, _, _, sets in rules:
         terms = []
         for group in sets:
-            test = " AND ".join(f"contains({low}, {tt.sql_text(w)})" for w in group.split("+"))
+            test = " AND ".join(f"contains({low}, {tt.sql_text(w)})" for w in group)
             terms.append(f"CAST(({test}) AS INTEGER)")
         out.append(" + ".join(terms))
     return out

@@ -52,7 +52,9 @@ def _joined(name: str) -> Column:
 def assemble_deltas(deltas: DataFrame, part: int = PART) -> DataFrame:
     """One message per response from deltas(session_id, response_id, seq, content, ...).
 
-    A message of more than `part` chunks comes in several parts, numbered from 0.
+    Chunks are joined in stretches of `part` first, so that the chunk rows of a long
+    response are never sorted in one task, and the stretches then in their order. The
+    reason to finish is the last one given in the whole response.
     """
     columns = set(deltas.columns)
     optional = {
@@ -62,17 +64,23 @@ def assemble_deltas(deltas: DataFrame, part: int = PART) -> DataFrame:
     for name, empty in optional.items():
         if name not in columns:
             deltas = deltas.withColumn(name, empty)
-    keyed = deltas.withColumn("part", F.floor(F.col("seq") / part).cast("int"))
-    return keyed.groupBy("session_id", "response_id", "part").agg(
+    keyed = deltas.withColumn("part", F.floor(F.col("seq") / part))
+    said = F.when(F.col("finish_reason").isNotNull(), F.struct("seq", "finish_reason"))
+    stretches = keyed.groupBy("session_id", "response_id", "part").agg(
         _joined("content").alias("content"),
-        _joined("reasoning").alias("reasoning_content"),
-        F.coalesce(
-            F.max_by(
-                "finish_reason", F.when(F.col("finish_reason").isNotNull(), F.col("seq"))
-            ),
-            F.lit("stop"),
-        ).alias("finish_reason"),
-        F.count(F.lit(1)).alias("n_chunks"),
+        _joined("reasoning").alias("reasoning"),
+        F.max(said).alias("said"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    return (
+        stretches.withColumn("seq", F.col("part"))
+        .groupBy("session_id", "response_id")
+        .agg(
+            _joined("content").alias("content"),
+            _joined("reasoning").alias("reasoning_content"),
+            F.coalesce(F.max("said")["finish_reason"], F.lit("stop")).alias("finish_reason"),
+            F.sum("n").alias("n_chunks"),
+        )
     )
 
 

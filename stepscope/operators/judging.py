@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepscope import taxonomy as tx
 from stepscope.functions import text as tt
@@ -96,20 +98,25 @@ def judge_payloads(
     return rows.select("run_id", "part", "total_steps", F.to_json(body).alias("payload"))
 
 
-_ANSWER = "run_id string, answer string, error string"
+_ANSWER = "run_id string, part long, answer string, error string"
 
 
 def judge_batch(
     payloads: DataFrame,
     scorer: Callable[[str], dict | None],
     requests: int | None = None,
+    attempts: int = 1,
 ) -> DataFrame:
-    """Send each payload to the caller's scorer; answers as JSON text.
+    """Send each payload to the caller's scorer; answers as JSON text, a row per part.
 
-    The number of partitions is the number of requests in flight. A failing call
-    gives a row with `error`; it never ends the job.
+    The number of partitions is the number of requests in flight. A call that fails is
+    made `attempts` times at most and then gives a row with `error`; it never ends the
+    job. `one_judgment` brings the parts of a run together.
     """
-    rows = payloads.select(F.col("run_id").cast("string").alias("run_id"), "payload")
+    part = F.col("part") if "part" in payloads.columns else F.lit(0)
+    rows = payloads.select(
+        F.col("run_id").cast("string").alias("run_id"), part.cast("long").alias("part"), "payload"
+    )
     if requests:
         rows = rows.repartition(requests)
 
@@ -117,15 +124,20 @@ def judge_batch(
         for batch in batches:
             answers, errors = [], []
             for payload in batch["payload"]:
-                try:
-                    found = scorer(payload)
-                    answers.append(json.dumps(found) if found else None)
-                    errors.append(None if found else "no answer")
-                except Exception as problem:  # one bad call must not lose the batch
-                    answers.append(None)
-                    errors.append(str(problem))
+                answer, error = None, "no answer"
+                for _ in range(attempts):
+                    try:
+                        found = scorer(payload)
+                    except Exception as problem:  # one bad call must not lose the batch
+                        error = str(problem)
+                        continue
+                    if found:
+                        answer, error = json.dumps(found), None
+                        break
+                answers.append(answer)
+                errors.append(error)
             yield pd.DataFrame(
-                {"run_id": batch["run_id"], "answer": answers, "error": errors}
+                {"run_id": batch["run_id"], "part": batch["part"], "answer": answers, "error": errors}
             )
 
     return rows.mapInPandas(call, _ANSWER)
@@ -140,27 +152,68 @@ def valid_answers(answers: DataFrame) -> DataFrame:
     return (
         answers.withColumn("j", F.from_json("answer", fields))
         .where(F.col("j.root_cause_error_type").isNotNull())
-        .select("run_id", "j.*")
+        .select("run_id", *[c for c in ["part"] if c in answers.columns], "j.*")
     )
 
 
+def one_judgment(judgments: DataFrame) -> DataFrame:
+    """One judgment per run: the most confident part's, on ties that with the earliest step."""
+    sure = F.coalesce("confidence", F.lit(0.0))
+    step = F.coalesce("root_cause_step_index", F.lit(2**31 - 1))
+    fields = [c for c in judgments.columns if c not in ("run_id", "part")]
+    part = F.col("part") if "part" in judgments.columns else F.lit(0)
+    best = F.min_by(F.struct(*fields), F.struct(-sure, step, part))
+    return judgments.groupBy("run_id").agg(best.alias("j")).select("run_id", "j.*")
+
+
 _FIELDS = (
     "critical_step string, critical_module string, error_type string, error_detected string, "
     "root_cause string, evidence string, reasoning string, correction_guidance string, "
-    "confidence double"
+    "confidence double, cascading_effects string"
 )
-_BALANCED = r"(?s)\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*\}"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def balanced_objects(texts: pd.Series) -> pd.Series:
+    """The outermost balanced {...} of each text, of any length and depth, in order.
+
+    An opening brace that is never closed is passed over, what stands inside it is not.
+    """
+
+    def of(text: str | None) -> list[str]:
+        opened: list[int] = []
+        found: list[tuple[int, int]] = []
+        for m in re.finditer("[{}]", text or ""):
+            if m[0] == "{":
+                opened.append(m.start())
+            elif opened:
+                start = opened.pop()
+                while found and found[-1][0] > start:
+                    found.pop()
+                found.append((start, m.end()))
+        return [text[a:z] for a, z in found]
+
+    return texts.map(of)
+
+
+# What stands for a text that the judge did not give.
+_TEXTS = {
+    "root_cause": "No root cause identified",
+    "reasoning": "No reasoning provided",
+    "correction_guidance": "No guidance provided",
+    "cascading_effects": "[]",
+}
 
 
 def parse_judgment(text: Column) -> Column:
     """Judge text as a struct with `parse_stage`.
 
-    Tried in turn on each balanced `{...}` (four levels deep): JSON as it is, without
-    trailing commas, with apostrophes mended, as Python literals; then single fields
-    are searched for; else stage `parse_error`.
+    Tried in turn on each balanced `{...}`: JSON as it is, without trailing commas, with
+    apostrophes mended, as Python literals; then single fields are searched for; else
+    stage `parse_error`. `cascading_effects` is the JSON text of its value.
     """
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^\s*```.*$", "")
-    candidates = F.regexp_extract_all(bare, F.lit(_BALANCED), F.lit(0))
+    candidates = balanced_objects(bare)
 
     def read(c: Column, tolerant: bool) -> Column:
         quotes = "true" if tolerant else "false"
@@ -210,6 +263,7 @@ def parse_judgment(text: Column) -> Column:
                             "evidence"
                         ),
                         F.coalesce(parsed["confidence"], F.lit(0.5)).alias("confidence"),
+                        *[F.coalesce(parsed[name], F.lit(text)).alias(name) for name, text in _TEXTS.items()],
                     ),
                 )
             )
@@ -243,6 +297,7 @@ def parse_judgment(text: Column) -> Column:
             ),
             F.lit("Parse error - partial extraction").alias("evidence"),
             F.lit(0.3).alias("confidence"),
+            *[F.lit(text).alias(name) for name, text in _TEXTS.items()],
         ),
     )
     failed = F.struct(
@@ -253,6 +308,7 @@ def parse_judgment(text: Column) -> Column:
         F.lit(False).alias("error_detected"),
         F.lit("Failed to parse analysis").alias("evidence"),
         F.lit(0.0).alias("confidence"),
+        *[F.lit(text).alias(name) for name, text in _TEXTS.items()],
     )
     return F.coalesce(parsed, rescued, failed)
 

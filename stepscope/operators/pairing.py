@@ -57,16 +57,29 @@ def _latest_open(left_calls: DataFrame, left_results: DataFrame) -> DataFrame:
     )
 
 
+def _keyed(results: DataFrame) -> DataFrame:
+    """Results with the tool's name where the call id is missing."""
+    return results.withColumn(
+        "call_id", F.coalesce(F.nullif("call_id", F.lit("")), F.nullif("name", F.lit("")))
+    )
+
+
+def rejected_results(results: DataFrame) -> DataFrame:
+    """Results with neither a call id nor a tool name: nothing says what they answer."""
+    return _keyed(results).where(F.col("call_id").isNull())
+
+
 def pair_tool_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Steps from tool calls and tool results.
 
     calls(session_id, call_seq, call_id, name, args, reasoning), results(session_id,
-    result_seq, call_id, name, content). Each call id counts once. A result takes the
-    last call of its id made before it; one without such a call takes the most recent
+    result_seq, call_id, name, content). Each call id counts once; a result without one
+    goes by its tool's name, and one without either is in `rejected_results`. A result
+    takes the last call of its id made before it; one without such a call takes the most recent
     call that no id claims; otherwise the action is the result's own name or `tool`.
     """
     once = ordered.first_by(
-        results.where(F.coalesce("call_id", F.lit("")) != ""),
+        _keyed(results).where(F.col("call_id").isNotNull()),
         ["session_id", "call_id"], [F.col("result_seq")],
     )
     named = calls.where(F.coalesce("call_id", F.lit("")) != "")

@@ -1,8 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from stepscope.functions import text as tt
-from stepscope.operators import detectors, judging, shaping
+from stepscope.operators import deltas, detectors, judging, pairing, shaping
 from stepscope.operators.edits import extract_text_edits, path_before
 from stepscope.plans import checks, parsing, tracking
 
@@ -126,6 +128,78 @@ def test_parse_judgment(spark):
     assert got[2].error_detected and got[3].confidence == 0.3
 
 
+def test_parse_judgment_of_any_length_and_depth(spark):
+    long, deep = "word " * 20_000, "{" * 40 + "}" * 40
+    effects = '{"a":' * 8 + "1" + "}" * 8
+    rows = [
+        f'{{"error_type": "misalignment", "evidence": "{long}", "cascading_effects": [{effects}]}}',
+        f'{deep} then {{ never closed {{"error_type": "step_limit", "correction_guidance": "wait"}}',
+        "}" * 1000 + "{" * 1000,
+    ]
+    got = values(spark, rows, judging.parse_judgment)
+    assert [g.parse_stage for g in got] == ["json", "json", "parse_error"]
+    assert got[0].evidence == long and got[0].cascading_effects.count("{") == 8
+    assert got[1].correction_guidance == "wait" and got[1].root_cause == "No root cause identified"
+
+
+def test_one_judgment_for_a_long_run(spark):
+    steps = spark.range(3000).selectExpr(
+        "'r' AS run_id", "CAST(id AS INT) AS step_index", "'' AS reasoning", "'look' AS action_name",
+        "'{}' AS args_key", "'an error' AS tool_response",
+    )
+    sent = judging.judge_payloads(steps)
+    assert sent.count() == 3
+
+    def scorer(payload):
+        first = json.loads(payload)["steps"][0]["step_index"]
+        return {"root_cause_error_type": "other", "root_cause_step_index": first, "confidence": 0.5 + first / 10_000}
+
+    got = judging.one_judgment(judging.valid_answers(judging.judge_batch(sent, scorer))).collect()
+    assert [(r.run_id, r.root_cause_step_index) for r in got] == [("r", 2048)]
+
+
+def test_scorer_is_asked_again(spark):
+    calls = []
+
+    def scorer(payload):
+        calls.append(payload)
+        if len(calls) < 3:
+            raise ValueError("busy")
+        return {"root_cause_error_type": "other"}
+
+    sent = spark.createDataFrame([("r", "{}")], "run_id string, payload string").coalesce(1)
+    assert judging.judge_batch(sent, scorer, attempts=2).first().error == "busy"
+    assert judging.judge_batch(sent, scorer, attempts=3).first().error is None
+
+
+def test_messages_of_many_chunks(spark):
+    rows = [("s", "r", i, f"{i},", f"t{i}" if i % 2 else None, "length" if i == 4 else None) for i in range(10)]
+    frame = spark.createDataFrame(rows, "session_id string, response_id string, seq long, content string, reasoning string, finish_reason string")
+    (got,) = deltas.assemble_deltas(frame, part=3).collect()
+    assert got.content == "".join(f"{i}," for i in range(10)) and got.reasoning_content == "t1t3t5t7t9"
+    assert (got.finish_reason, got.n_chunks) == ("length", 10)
+
+
+def test_results_without_id_go_by_name(spark):
+    calls = spark.createDataFrame(
+        [("s", 1, "", "look", "{}", "")], "session_id string, call_seq long, call_id string, name string, args string, reasoning string")
+    results = spark.createDataFrame(
+        [("s", 2, None, "look", "seen"), ("s", 3, "", "", "lost")],
+        "session_id string, result_seq long, call_id string, name string, content string")
+    (got,) = pairing.pair_tool_calls(calls, results).collect()
+    assert (got.action_name, got.tool_response, got.paired_by) == ("look", "seen", "recent")
+    assert [r.content for r in pairing.rejected_results(results).collect()] == ["lost"]
+
+
+def test_idle_stretches_of_a_busy_session(spark):
+    from stepscope.streaming import windows
+
+    rows = spark.range(2000).selectExpr("'s' AS session_id", "timestamp_seconds(id % 7 + IF(id % 2 = 0, 0, 100)) AS ts")
+    got = windows.idle_sessions(rows, gap="30 seconds").orderBy("start").collect()
+    assert [r.n_events for r in got] == [1000, 1000]
+    assert [r.end.timestamp() - r.start.timestamp() for r in got] == [36.0, 36.0]
+
+
 def test_step_cap_and_boundaries(spark):
     steps = spark.createDataFrame(
         [("r", i, "", "look", "{}", "quiet") for i in range(25)],
