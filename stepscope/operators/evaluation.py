@@ -122,10 +122,6 @@ def judge_metrics(records: DataFrame) -> DataFrame:
     )
 
 
-def _all_tags(records: DataFrame) -> DataFrame:
-    return F.broadcast(tx.tag_table(records.sparkSession))  # seven rows
-
-
 def confusion_matrix(records: DataFrame) -> DataFrame:
     """True tag by predicted tag, every tag listed."""
     cells = with_hits(records).groupBy(F.col("true_type").alias("tag")).agg(

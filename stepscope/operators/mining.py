@@ -51,7 +51,7 @@ def number_sorted(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
     return (
         ranged.withColumn("_rn", here)
         .join(shifts, [group, "_part"])
-        .withColumn(out, (F.col("_rn") + F.col("_shift")).cast("int"))
+        .withColumn(out, (F.col("_rn") + F.col("_shift")).cast("long"))
         .drop("_rn", "_shift", "_part")
     )
 

@@ -46,7 +46,7 @@ def number_rows(
     target = max(min_slice, -(-(total or 0) // SHARE))
     if (largest or 0) <= target:
         alone = Window.partitionBy(key).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(alone) - 1).cast("int"))
+        return df.withColumn(out, (F.row_number().over(alone) - 1).cast("long"))
     hot = (
         df.groupBy(F.col(key).alias("_key"))
         .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
@@ -78,7 +78,7 @@ def number_rows(
             (F.col(key) == F.col("_skey")) & (F.col("_slice") == F.col("_sslice")),
             "left",
         )
-        .withColumn(out, (F.col("_rn") + F.coalesce(F.col("_shift"), F.lit(0))).cast("int"))
+        .withColumn(out, (F.col("_rn") + F.coalesce(F.col("_shift"), F.lit(0))).cast("long"))
         .drop("_key", "_k", "_lo", "_hi", "_slice", "_rn", "_skey", "_sslice", "_shift")
     )
 

@@ -56,7 +56,7 @@ def assess(
             "Accumulated subgoal failures: %d failed, %d stalled-advanced", failed, stalled
         ),
         F.format_string(
-            "Pattern repetition drift: %d GuardInterface pattern flags triggered", matches
+            "Pattern repetition drift: %d step flags raised", matches
         ),
     ]
     signals = F.array_compact(F.array(*[F.when(f, F.lit(n)) for f, n in zip(fired, names)]))

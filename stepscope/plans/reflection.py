@@ -75,7 +75,7 @@ def reflect(
             F.when(
                 caught,
                 F.format_string(
-                    "GuardInterface flagged severe %s pattern (confidence=%.2f)",
+                    "Step check flagged severe %s pattern (confidence=%.2f)",
                     match["category"], match["confidence"],
                 ),
             ),
@@ -85,7 +85,7 @@ def reflect(
         F.array(
             F.lit("subgoals"),
             F.lit("drift_monitor"),
-            F.when(match.isNotNull(), F.lit("guard_interface")),
+            F.when(match.isNotNull(), F.lit("step_check")),
         )
     )
     head = F.concat(

@@ -42,11 +42,10 @@ def reflection_category(reflection: Column) -> Column:
     )
 
 
-def root_cause(checked: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """Earliest match, drift or revision per run; runs without any get source `none`.
+def tiers(checked: DataFrame) -> list[Column]:
+    """Aggregates c1, c2, ... of a run: the earliest candidate of each tier.
 
-    `checked` may lack `drift` or `reflection`; then those tiers are left out. All
-    tiers come from one pass: a minimum per run, combined before the shuffle.
+    `checked` may lack `drift` or `reflection`; then those tiers are left out.
     """
     def candidate(hit: Column, tier: int, category: Column, source: str) -> Column:
         return F.min(
@@ -62,26 +61,38 @@ def root_cause(checked: DataFrame, runs: DataFrame | None = None) -> DataFrame:
         )
 
     match = F.col("match")
-    tiers = [candidate(match.isNotNull(), 1, match["category"], "pattern_match").alias("c1")]
+    found = [candidate(match.isNotNull(), 1, match["category"], "pattern_match").alias("c1")]
     if "drift" in checked.columns:
         drift = F.col("drift")
         drifted = drift["drift_detected"] | match.isNotNull()
-        tiers.append(candidate(drifted, 2, drift_category(drift), "drift_monitor").alias("c2"))
+        found.append(candidate(drifted, 2, drift_category(drift), "drift_monitor").alias("c2"))
     if "reflection" in checked.columns:
         reflection = F.col("reflection")
-        tiers.append(
+        found.append(
             candidate(
                 reflection["revision_suggested"], 3, reflection_category(reflection), "reflector"
             ).alias("c3")
         )
-    names = [f"c{i + 1}" for i in range(len(tiers))]
+    return found
+
+
+def settled(found: DataFrame) -> dict[str, Column]:
+    """The root cause columns from the aggregates of `tiers`."""
+    names = [c for c in ("c1", "c2", "c3") if c in found.columns]
     best = F.array_min(F.array_compact(F.array(*names))) if len(names) > 1 else F.col("c1")
-    found = checked.groupBy("run_id").agg(*tiers).withColumn("_best", best)
+    return {
+        "root_cause_step_index": best["step"],
+        "root_cause_error_type": best["category"],
+        "root_cause_source": F.coalesce(best["source"], F.lit("none")),
+    }
+
+
+def root_cause(checked: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Earliest match, drift or revision per run; runs without any get source `none`.
+
+    All tiers come from one pass: a minimum per run, combined before the shuffle.
+    """
+    found = checked.groupBy("run_id").agg(*tiers(checked))
     if runs is not None:
         found = runs.select("run_id").join(found, "run_id", "left")
-    return found.select(
-        "run_id",
-        F.col("_best.step").alias("root_cause_step_index"),
-        F.col("_best.category").alias("root_cause_error_type"),
-        F.coalesce("_best.source", F.lit("none")).alias("root_cause_source"),
-    )
+    return found.select("run_id", *[c.alias(name) for name, c in settled(found).items()])

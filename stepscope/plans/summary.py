@@ -56,6 +56,8 @@ def run_summary(
 ) -> DataFrame:
     """One row per run: counts, subgoal totals, final drift and reflection, root cause.
 
+    Counts and root cause are aggregates of one pass over the checked steps.
+
     With `legacy_run_end` the last reflection sees no counters and never revises.
     The flags themselves are in `run_flags`.
     """
@@ -64,12 +66,12 @@ def run_summary(
         F.count_if(F.col("match").isNotNull()).cast("int").alias("n_matches"),
         F.count_if("flagged").cast("int").alias("n_flagged"),
         F.max("step_index").alias("_last"),
+        *rootcause.tiers(checked),
     )
+    counts = counts.withColumns(rootcause.settled(counts)).drop("c1", "c2", "c3")
     base = counts if runs is None else runs.select("run_id").join(counts, "run_id", "left")
     joined = (
-        base.join(tracking.finalize(tracked), "run_id", "left")
-        .join(rootcause.root_cause(checked), "run_id", "left")
-        .na.fill(
+        base.join(tracking.finalize(tracked), "run_id", "left").na.fill(
             0,
             ["total_steps", "n_matches", "n_flagged", "total_subgoals", "completed_count",
              "stalled_advanced_count", "failed_count", "abandoned_count"],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,10 +14,13 @@ def idle_sessions(
 ) -> DataFrame:
     """One row per stretch of a session without an idle gap.
 
-    A session window keeps partial sums per stretch, merged before and after the
-    shuffle, so that a busy session is never gathered row by row.
+    A stream goes through session windows. In a batch, events of one slot as wide as the
+    gap belong to one stretch for sure, so they become one row before the shuffle;
+    however busy a session is, only its slots are lined up.
     """
-    rows = events.withWatermark(ts, watermark) if events.isStreaming else events
+    if not events.isStreaming:
+        return _stretches(events, key, ts, gap)
+    rows = events.withWatermark(ts, watermark)
     return (
         rows.groupBy(key, F.session_window(ts, gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("n_events"))
@@ -25,6 +28,22 @@ def idle_sessions(
     )
 
 
+def _stretches(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
+    width = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {gap}"))
+    slots = events.where(F.col(ts).isNotNull()).groupBy(
+        key, F.floor(F.unix_micros(ts) / width).alias("_slot")
+    ).agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.count(F.lit(1)).alias("_n"))
+    line = Window.partitionBy(key).orderBy("_slot")
+    quiet = F.unix_micros("_from") - F.unix_micros(F.lag("_to").over(line)) >= width
+    numbered = slots.withColumn("_fresh", F.coalesce(quiet, F.lit(True)).cast("int")).withColumn(
+        "_stretch", F.sum("_fresh").over(line)
+    )
+    end = F.timestamp_micros(F.unix_micros(F.max("_to")) + width)
+    return numbered.groupBy(key, "_stretch").agg(
+        F.min("_from").alias("start"), end.alias("end"), F.sum("_n").alias("n_events")
+    ).drop("_stretch")
+
+
 def drop_replayed(
     events: DataFrame, keys: list[str] = ("session_id", "call_id"), ts: str = "ts",
     watermark: str = "1 hour",
