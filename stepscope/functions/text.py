@@ -149,11 +149,6 @@ def response_failed(col: Column) -> Column:
     return contains_any(F.lower(col), tx.RESPONSE_ERRORS)
 
 
-def word_sets(rules) -> list[tuple]:
-    """Rules with their word sets split into words."""
-    return [(rid, cat, text, [s.split("+") for s in sets]) for rid, cat, text, sets in rules]
-
-
 MATCH = (
     "struct<category:string,confidence:double,layer:string,pattern_id:string,"
     "rule_id:string,description:string,safe_alternative:string>"
@@ -190,7 +185,7 @@ def rule_sets_sql(rules) -> str:
     """The word sets of all rules as one SQL literal: rules, sets, words."""
     return _array_sql(
         _array_sql(_array_sql(map(sql_text, words)) for words in sets)
-        for _, _, _, sets in word_sets(rules)
+        for _, _, _, sets in rules
     )
 
 

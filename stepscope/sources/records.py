@@ -75,8 +75,8 @@ def read_transcript(spark: SparkSession, path: str) -> DataFrame:
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """Pattern table or pattern file; a missing path gives no patterns.
 
-    Categories outside the taxonomy are an error of the file and dropped to none;
-    `pattern_no` is the order of the library.
+    `pattern_no` is the order of the library. Rows with a category outside the taxonomy
+    stay: `split_patterns` parts them from the others.
     """
     schema = schemas.PATTERN
     if not _exists(spark, path):
@@ -93,16 +93,18 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
         )
     else:
         rows = spark.read.parquet(path)
-    tags = tx.tag_table(spark).select(F.col("tag").alias("category"))
-    return (
-        rows.join(F.broadcast(tags), "category", "left_semi")
-        .withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
-        .withColumn("safe_alternative", F.coalesce("safe_alternative", F.lit("")))
+    return rows.withColumns(
+        {
+            "confidence": F.coalesce("confidence", F.lit(1.0)),
+            "safe_alternative": F.coalesce("safe_alternative", F.lit("")),
+        }
     )
 
 
-def invalid_patterns(rows: DataFrame) -> DataFrame:
-    return rows.where(~F.col("category").isin(*tx.TAGS))
+def split_patterns(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patterns of the taxonomy's categories, and the rejected others."""
+    known = F.coalesce(F.col("category").isin(*tx.TAGS), F.lit(False))
+    return rows.where(known), rows.where(~known)
 
 
 def write_patterns(patterns: DataFrame, path: str) -> None:

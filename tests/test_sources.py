@@ -75,7 +75,9 @@ def test_patterns_tags_logs(spark):
         {"pattern_id": "p1", "category": "other", "trigger_description": "x"},
         {"pattern_id": "p2", "category": "made_up", "trigger_description": "y"}]})
     found = records.read_patterns(spark, f"{place}/p.json")
-    assert [(r.pattern_id, r.confidence) for r in found.collect()] == [("p1", 1.0)]
+    known, rejected = records.split_patterns(found)
+    assert [(r.pattern_id, r.confidence) for r in known.collect()] == [("p1", 1.0)]
+    assert [r.pattern_id for r in rejected.collect()] == ["p2"]
     tags = spark.createDataFrame([("t", 1, "other", "n")], "task_id string, trial_number int, tag string, note string")
     records.append_tags(tags, f"{place}/tags")
     runs = spark.createDataFrame([("t", 1, "FAIL"), ("t", 2, "fail"), ("t", 3, "success")],
