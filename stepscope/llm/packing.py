@@ -16,8 +16,8 @@ Pieces then find their places by their number among the pieces of their length.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -37,16 +37,9 @@ END = 2  # id behind each document
 GROUPS = 128
 SMALL = 8  # lengths up to capacity / SMALL are small
 ROUNDS = 1000  # of column generation, at most
-CACHE = 200_000  # words a worker remembers
-
-# The words of the byte-level pattern for texts of ASCII and Latin-1 letters and digits;
-# texts with other characters go through the library as a whole.
-LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
-NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-WORD = re.compile(
-    rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
-)
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
+CALL = 4096  # chunks of one call of the library
+SPACE = "\u0120"  # how the byte-level alphabet writes a space
+CACHE = 400_000  # chunks a worker remembers, about 200 bytes each
 
 
 def tokenizer_path() -> str:
@@ -58,8 +51,10 @@ def tokenizer_path() -> str:
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers, by the tokenizers library.
 
-    The library's pattern never lets a merge cross its words, so each distinct word is
-    encoded once and remembered.
+    The byte-level pattern begins a new word at every space between two characters that
+    are not white, and no merge crosses its words. So texts are split at such spaces, each
+    distinct chunk is encoded once, with its space, and remembered. A text in which white
+    characters meet a space goes through the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -69,22 +64,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-
-    def words(self, words: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in made]
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.spaced = np.array([n is not None and n.startswith(SPACE) for n in names])
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in made]
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk with a space before it, many chunks to a call.
+
+        A chunk's first id is the only one that begins with a space.
+        """
+        out = []
+        for at in range(0, len(chunks), CALL):
+            part = chunks[at : at + CALL]
+            ids = np.frombuffer(self.ids([" " + " ".join(part)])[0], np.uint32)
+            cut = [*np.flatnonzero(self.spaced[ids]).tolist(), len(ids)]
+            if len(cut) != len(part) + 1:
+                raise ValueError("chunks and ids do not match")
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * z] for a, z in zip(cut, cut[1:])]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [WORD.findall(t) if PLAIN.fullmatch(t) else None for t in texts]
-        missing = list(set().union(*[s for s in split if s is not None]) - self.known.keys())
-        fresh = dict(zip(missing, self.words(missing), strict=True))
-        known, room = self.known, CACHE - len(self.known)
-        if len(fresh) <= room:
-            known |= fresh
-        elif room > 0:
-            known |= dict(zip(missing[:room], map(fresh.__getitem__, missing[:room])))
-        whole = iter(self.words([t for t, s in zip(texts, split) if s is None]))
-        return [next(whole) if s is None else b"".join([known.get(w) or fresh[w] for w in s]) for s in split]
+        known = self.known
+        split = [t.split(" ") for t in texts]
+        heads = self.ids([s[0] for s in split])
+        found = [list(map(known.get, s[1:])) for s in split]
+        missing = {c for s, f in zip(split, found) if None in f for c, v in zip(s[1:], f) if v is None}
+        regular = [c for c in missing if c and not c[0].isspace() and not c[-1].isspace()]
+        fresh = dict(zip(regular, self.chunks(regular), strict=True))
+        room = max(CACHE - len(known), 0)
+        known |= fresh if len(fresh) <= room else {c: fresh[c] for c in regular[:room]}
+        out = []
+        for text, s, head, f in zip(texts, split, heads, found):
+            if None in f:
+                f = [fresh.get(c) if v is None else v for c, v in zip(s[1:], f)]
+            if f and (None in f or not s[0] or s[0][-1].isspace()):
+                out += self.ids([text])
+            else:
+                out.append(head + b"".join(f))
+        return out
 
 
 @lru_cache(1)
@@ -105,7 +126,7 @@ def pieces(docs: DataFrame, keep: list[str], path: Callable[[], str] = tokenizer
         encoder, seen = encoder_of(path()), {}
         task = TaskContext.get()
         part = task.partitionId() if task else 0
-        end = np.array([END], "<u4").tobytes()
+        end = array("I", [END]).tobytes()
 
         def of(texts):
             out = {"_row": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "part": [], "number": []}
