@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from stepscope.llm.common import map_texts, table
 
 SPACE = "▁"
-CACHE = 300_000  # segments a worker remembers, about 400 bytes each
+CACHE = 600_000  # segments a worker remembers, about 400 bytes each
 SHORT = 48  # characters of a segment that goes through the table
 CELLS = 1 << 18  # of the table
 NEVER = np.iinfo(np.int32).max  # rank of a pair that makes no piece
@@ -219,20 +219,22 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[tuple[str, list[int]]]:
         """Ids of each text, as text joined by commas and as a list."""
         split = [self.split(t) for t in texts]
-        missing = list(set().union(*split) - self.known.keys()) if split else []
+        known = self.known
+        found = [list(map(known.get, s)) for s in split]
+        missing = list({c for s, f in zip(split, found) if None in f for c, v in zip(s, f) if v is None})
         made = self.merge_all(missing)
         self.check(missing, made)
         same = self.number.__getitem__  # one object per id, however often it is remembered
         fresh = {s: (",".join(map(str, ids)), tuple(map(same, ids))) for s, ids in zip(missing, made)}
-        known = self.known
         room = CACHE - len(known)
         if len(fresh) <= room:
             known |= fresh
         elif room > 0:
             known |= dict(zip(missing[:room], map(fresh.__getitem__, missing[:room])))
         out = []
-        for segments in split:
-            got = [known.get(s) or fresh[s] for s in segments]
+        for segments, got in zip(split, found):
+            if None in got:
+                got = [fresh[s] if v is None else v for s, v in zip(segments, got)]
             out.append((",".join([g[0] for g in got]), list(chain.from_iterable([g[1] for g in got]))))
         return out
 
