@@ -30,11 +30,20 @@ LEADING_WORD = (
     r"\b(?:file|filename|filepath|in|modifying|modify|updating|update|editing|edit|patching|patch)\s*$"
 )
 
+EDGE_MARKS = r"^[#*`\-:\s]+|[#*`\-:\s]+$"
+NAME_LABEL = r"(?i)^(?:file|filename|filepath):\s*"
+QUOTES = "`'\"* "
+# Points of a file name: alone on its line, any, quoted or before a colon, last of the
+# line, behind a leading word; and how many a line loses with its distance.
+ALONE, NAMED, QUOTED, LAST, ANNOUNCED = 100, 10, 25, 20, 15
+NEAREST, PER_LINE = 20, 2
+LINES_BACK = 10
+SAMPLE_NAMES = "example|snippet"  # files that are only shown
+
 
 def clean_path(col: Column) -> Column:
-    bare = F.regexp_replace(tt.strip(col), r"^[#*`\-:\s]+|[#*`\-:\s]+$", "")
-    bare = F.regexp_replace(bare, r"(?i)^(?:file|filename|filepath):\s*", "")
-    return F.btrim(bare, F.lit("`'\"* "))
+    bare = F.regexp_replace(tt.strip(col), EDGE_MARKS, "")
+    return F.btrim(F.regexp_replace(bare, NAME_LABEL, ""), F.lit(QUOTES))
 
 
 def _bad_extension(path: Column) -> Column:
@@ -69,10 +78,10 @@ def line_candidates(line: Column) -> Column:
             at_end = (i == F.size(found["all"]) - 1) & (tt.strip(F.get(gaps, i + 1)) == "")
             mark = F.when(m["quote"] != "", m["quote"]).otherwise(m["prefix"])
             points = (
-                F.lit(10)
-                + F.when(m["suffix"].contains(":") | (mark == "`"), 25).otherwise(0)
-                + F.when(at_end, 20).otherwise(0)
-                + F.when(pre.rlike(LEADING_WORD), 15).otherwise(0)
+                F.lit(NAMED)
+                + F.when(m["suffix"].contains(":") | (mark == "`"), QUOTED).otherwise(0)
+                + F.when(at_end, LAST).otherwise(0)
+                + F.when(pre.rlike(LEADING_WORD), ANNOUNCED).otherwise(0)
             )
             usable = (
                 path.contains(".") & ~F.lower(path).isin(*NO_FILES) & ~_bad_extension(path)
@@ -80,7 +89,7 @@ def line_candidates(line: Column) -> Column:
             return F.when(usable, F.struct(points.alias("score"), path.alias("path")))
 
         many = F.array_compact(F.transform(zipped, score)).cast(_CANDIDATE)
-        one = F.array(F.struct(F.lit(100).alias("score"), direct.alias("path"))).cast(_CANDIDATE)
+        one = F.array(F.struct(F.lit(ALONE).alias("score"), direct.alias("path"))).cast(_CANDIDATE)
         return (
             F.when((text == "") | text.rlike(CODE_LINE), none).when(alone, one).otherwise(many)
         )
@@ -93,13 +102,13 @@ def path_before(text: Column) -> Column:
     lines = F.filter(
         F.transform(F.split(text, "\n"), tt.strip), lambda s: s != ""
     )
-    last = F.when(F.size(lines) > 10, F.slice(lines, -10, 10)).otherwise(lines)
+    last = F.when(F.size(lines) > LINES_BACK, F.slice(lines, -LINES_BACK, LINES_BACK)).otherwise(lines)
     weighted = F.transform(
         F.reverse(last),
         lambda s, i: F.transform(
             line_candidates(s),
             lambda c, k: F.struct(
-                (c["score"] + F.greatest(F.lit(0), F.lit(20) - i * 2)).alias("score"),
+                (c["score"] + F.greatest(F.lit(0), F.lit(NEAREST) - i * PER_LINE)).alias("score"),
                 (-i).alias("near"),
                 (-k).alias("first"),
                 c["path"].alias("path"),
@@ -162,7 +171,7 @@ def text_edits(content: Column) -> Column:
     ).cast(_EDIT)
     whole = F.filter(
         whole,
-        lambda e: e["path"].contains(".") & ~F.lower(e["path"]).rlike("example|snippet"),
+        lambda e: e["path"].contains(".") & ~F.lower(e["path"]).rlike(SAMPLE_NAMES),
     )
     return (
         F.when(F.size(search) > 0, tt.let(named, diffs))
