@@ -54,7 +54,8 @@ class Encoder:
     The byte-level pattern begins a new word at every space between two characters that
     are not white, and no merge crosses its words. So texts are split at such spaces, each
     distinct chunk is encoded once, with its space, and remembered. A text in which white
-    characters meet a space goes through the library as a whole.
+    characters meet a space goes through the library as a whole, and so does one that holds
+    the content of an added token, which the library cuts out before it looks for words.
     """
 
     def __init__(self, path: str):
@@ -62,7 +63,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         self.spaced = np.array([n is not None and n.startswith(SPACE) for n in names])
@@ -89,7 +90,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        split = [t.split(" ") for t in texts]
+        split = [[t] if any(a in t for a in self.added) else t.split(" ") for t in texts]
         heads = self.ids([s[0] for s in split])
         found = [list(map(known.get, s[1:])) for s in split]
         missing = {c for s, f in zip(split, found) if None in f for c, v in zip(s[1:], f) if v is None}

@@ -15,6 +15,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from stepscope.llm import catalog, fingerprints, packing, pieces, secrets, tiles, warc
 from stepscope.operators.components import components
@@ -134,6 +135,29 @@ def test_packing_of_documents(spark, folder, documents, odd, none, clashing):
     assert catalog.QUERIES["op6_best_fit_packing"](spark, folder(none)).count() == 0
 
 
+def test_added_tokens_as_the_library_reads_them(spark, folder):
+    fresh = Tokenizer.from_file(packing.tokenizer_path())
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", end, f" {end}", f"{end} two three", f"a{end}b {end}{end}  c", f"one two\n{end} ", "one <|endoftext| > two", f"one {end[:-1]} two"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [505, 220, 50256, 734]
+    for found in (packing.Encoder(packing.tokenizer_path()).encode(texts), [i for t in texts for i in packing.Encoder(packing.tokenizer_path()).encode([t])]):
+        assert [np.frombuffer(i, "<u4").tolist() for i in found] == want
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = catalog.QUERIES["op6_best_fit_packing"](spark, folder(docs)).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == [
+        (i, 0, 0, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for i, ids in enumerate(want)
+    ]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=5))
+def test_ids_equal_a_fresh_library(texts):
+    fresh = Tokenizer.from_file(packing.tokenizer_path())
+    for text, ids in zip(texts, packing.encoder_of(packing.tokenizer_path()).encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
 # SentencePiece
 
 
