@@ -9,7 +9,6 @@ tokens, whose header must be a JSON object that names an algorithm.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import json
 import re
@@ -35,10 +34,12 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 HEX_RUN = b"h" * 24
 
-# A DER sequence in base64 begins with M, an OpenSSH key with its magic word. Line breaks
-# may part the lines of a key.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{30,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
-LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+# A DER sequence in base64 begins with M, an OpenSSH key with its magic word. White space
+# or breaks, real or written out as in JSON, may part the lines of a key and stand before it.
+FIRST = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[rnt]))(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{30,}")
+LINE = re.compile(r"[A-Za-z0-9+/]+")
+BREAK = re.compile(r"(?:[ \t\r\n]|\\+[rnt])+")
+PADDING = re.compile(r"={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 MAGIC = b"openssh-key-v1\0"
@@ -103,12 +104,67 @@ def openssh(data: bytes) -> bool:
     return text() is not None and at == len(data)
 
 
-def decoded(chunk: str) -> bytes | None:
-    chunk = re.sub(r"\s", "", chunk)
-    try:
-        return base64.b64decode(chunk + "=" * (-len(chunk) % 4), validate=True)
-    except binascii.Error:
+class Lines:
+    """Base64 lines from a place in a text, read only as far as they are asked for."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.at, self.end = text, at, at
+        self.most = len(text) - at
+        self.lines: list[str] = []
+        self.chars = 0
+
+    def first(self, n: int) -> bytes | None:
+        """The first `n` bytes that the lines hold, None if they hold less."""
+        need = -(-n * 8 // 6)
+        if need > self.most:
+            return None
+        while self.chars < need:
+            line = LINE.match(self.text, self.at)
+            if not line:
+                return None
+            self.lines.append(line[0])
+            self.chars, self.end = self.chars + len(line[0]), line.end()
+            gap = BREAK.match(self.text, self.end)
+            self.at = gap.end() if gap else self.end
+        chunk = "".join(self.lines)[:need]
+        return base64.b64decode(chunk + "=" * (-need % 4))
+
+
+def claimed(lines: Lines) -> int | None:
+    """How many bytes a key has by its own account, from the sizes at its head."""
+    head = lines.first(6)
+    if head[0] == 0x30:
+        more = head[1] - 128
+        if more < 0:
+            return 2 + head[1]
+        return 2 + more + int.from_bytes(head[2 : 2 + more]) if 1 <= more <= 4 else None
+    at = len(MAGIC)
+    keys = 1
+    for place in range(3 + 1 + 64 + 1):  # three texts, a count, public keys, private part
+        if place > 4 + keys:
+            break
+        data = lines.first(at + 4)
+        if data is None:
+            return None
+        size, at = int.from_bytes(data[at:]), at + 4
+        if place == 3:
+            keys = size
+        else:
+            at += size
+    return at
+
+
+def key_end(text: str, start: int) -> int | None:
+    """Where the private key ends whose first line starts here, None if there is none.
+
+    A key fills whole lines, so its size leaves one reading only.
+    """
+    lines = Lines(text, start)
+    size = claimed(lines)
+    data = lines.first(size) if size else None
+    if data is None or lines.chars != -(-size * 8 // 6) or not private_key(data):
         return None
+    return lines.end + min(len(PADDING.match(text, lines.end)[0]), -lines.chars % 4)
 
 
 def json_part(chunk: str) -> object:
@@ -120,14 +176,11 @@ def json_part(chunk: str) -> object:
 
 def keys_in(text: str) -> list[tuple[int, int]]:
     spans = []
-    for m in BASE64.finditer(text):
-        # Longest reading first: all lines, then fewer, since prose may follow a key.
-        ends = [x.end() + m.start() for x in LINE.finditer(m.group())]
-        for end in reversed(ends):
-            data = decoded(text[m.start() : end])
-            if data and private_key(data):
+    for m in FIRST.finditer(text):  # goes on at the next line, whatever this one was
+        if not spans or m.start() >= spans[-1][1]:
+            end = key_end(text, m.start())
+            if end is not None:
                 spans.append((m.start(), end))
-                break
     for m in HEX_KEY.finditer(text):
         if len(m.group()) % 2 == 0 and private_key(bytes.fromhex(m.group())):
             spans.append(m.span())

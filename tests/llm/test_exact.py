@@ -349,6 +349,43 @@ def test_structures_are_confirmed():
     assert kinds("M" + "A" * 80) == []
 
 
+def wrapped(key, gap="\n", width=64):
+    b64 = base64.b64encode(key).decode().rstrip("=")
+    return gap.join(b64[i : i + width] for i in range(0, len(b64), width))
+
+
+@pytest.mark.parametrize("key", [RSA, PKCS8, SSH])
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n    ", "\r\n\t", "  \n", " ", "\\n  "])
+def test_keys_in_lines_parted_in_any_way(key, gap):
+    body = wrapped(key, gap)
+    for text in (f"-----BEGIN KEY-----{gap}{body}{gap}-----END KEY-----{gap}more", f"{gap}{body}{gap}and words behind"):
+        ((a, k, z),) = secrets.find(text.encode())
+        assert secrets.KINDS[k] == "key" and text[a:z] == body
+    account = json.dumps({"type": "service_account", "private_key": f"-----BEGIN PRIVATE KEY-----\n{wrapped(key)}\n-----END PRIVATE KEY-----\n"})
+    for text in (account, json.dumps(account)):
+        assert kinds(text) == ["key"]
+
+
+def test_keys_behind_keys_and_other_lines():
+    other = base64.b64encode(der(0x30, der(0x30, b"\1" * 150), der(3, b"\2" * 40))).decode().rstrip("=")  # no key, yet DER
+    keys = [base64.b64encode(k).decode().rstrip("=") for k in (RSA, PKCS8, SSH)]
+    for gap in ("\n", "\\n", "\n  "):
+        for before in ([], [other], ["MAAA" + "A" * 60], ["M" + "B" * 63, other]):
+            text = gap.join([*before, *keys, other, keys[0]])
+            spans = secrets.find(text.encode())
+            assert [text[a:z] for a, _, z in spans] == [*keys, keys[0]]
+            assert secrets.redact(text.encode(), spans).count(secrets.REDACTED) == 4
+    padded = base64.b64encode(RSA + b"").decode()
+    assert kinds(f"{padded}\n{padded}\n{other}") == ["key", "key"]
+    assert kinds(f"{keys[0]}A\n{keys[1][:-4]}\nwords") == []  # no key fits to the byte
+
+
+def test_long_runs_of_base64_are_read_once():
+    rng = random.Random(3)
+    lines = [base64.b64encode(b"0" + rng.randbytes(47)).decode() for _ in range(20_000)]
+    assert kinds("\n".join([*lines, wrapped(RSA)])) == ["key"]
+
+
 def test_base_patterns():
     assert kinds("API_KEY = 'abcdef' token:short password=12345") == ["assign"]
     assert kinds("AKIA" + "Z" * 15 + " AKIA" + "Z" * 16) == ["access"]
