@@ -359,6 +359,15 @@ def f1(spark, sf):
     return parsing.parse_plans(plans)
 
 
+@query("f1_parse_plan_texts")
+def f1_texts(spark, sf):
+    """Whole texts by all strategies; `f1_parse_plan` reads letters only, as its SQL does."""
+    plans = src.texts(spark, sf).select(
+        F.col("doc_id").alias("run_id"), F.col("text").alias("proposed_plan")
+    )
+    return parsing.parse_plans(plans)
+
+
 @query(
     "g12_order_by_payload_length",
     "SELECT doc_id AS run_id, length(text) AS payload_length FROM documents",

@@ -9,10 +9,16 @@ from stepscope import taxonomy as tx
 from stepscope.functions import text as tt
 
 _NONE = "cast(array() as array<string>)"
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def _strip(col: Column) -> Column:
+    """Trim what Python calls white space, with the four separators that Java leaves out."""
+    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def _clean_items(items: Column) -> Column:
-    flat = F.transform(items, lambda m: F.regexp_replace(tt.strip(m), "\n", " "))
+    flat = F.transform(items, lambda m: F.regexp_replace(_strip(m), "\n", " "))
     return F.when(F.size(items) >= 2, F.filter(flat, lambda m: m != "")).otherwise(F.expr(_NONE))
 
 
@@ -43,10 +49,10 @@ def plan_items(plan: Column) -> Column:
 
         words, said = found(tx.TRANSITION_ITEM, 1), found(tx.TRANSITION_ITEM, 2)
         moves = F.zip_with(
-            words, said, lambda w, d: F.when(tt.strip(d) != "", F.concat(w, F.lit(" "), d))
+            words, said, lambda w, d: F.when(_strip(d) != "", F.concat(w, F.lit(" "), d))
         )
         lines = F.filter(
-            F.transform(F.split(text, r"\r\n|\n|\r"), tt.strip), lambda s: F.length(s) > 10
+            F.transform(F.split(text, _LINE_END), _strip), lambda s: F.length(s) > 10
         )
         ways = [
             ("numbered", _clean_items(found(tx.NUMBERED_ITEM, 1))),
@@ -69,7 +75,7 @@ def plan_items(plan: Column) -> Column:
             ),
         )
 
-    return tt.let(tt.strip(F.coalesce(plan, F.lit(""))), build)
+    return tt.let(_strip(F.coalesce(plan, F.lit(""))), build)
 
 
 def with_subgoals(plans: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from stepscope.functions import text as tt
 from stepscope.operators import deltas, detectors, judging, pairing, shaping
 from stepscope.operators.edits import extract_text_edits, path_before
@@ -31,6 +33,51 @@ def test_plan_strategies(spark, plan, count, way):
     assert (len(got["items"]), got["strategy"], got["is_fallback"]) == (count, way, way == "single")
 
 
+HEAD = r"(?:Step\s*\d+|Subgoal\s*\d+|Phase\s*\d+|\d+)[.:)]"
+NUMBERED = re.compile(rf"(?:^|\n)\s*{HEAD}\s*(.+?)(?=\n\s*{HEAD}|\n\s*[-*]|\Z)", re.I | re.S)
+BULLETS = re.compile(r"(?:^|\n)\s*[-*]\s*(.+?)(?=\n\s*[-*]|\n\s*(?:Step|Subgoal|Phase|\d+)[.:)]|\Z)", re.S)
+LATER = "Second|Third|Fourth|Fifth|Then|Next|Finally"
+MOVES = re.compile(rf"\b(First|{LATER})\b[,:\s]+(.+?)(?=\b(?:{LATER})\b|\Z)", re.I)
+
+
+def brute_plan(text):
+    """(strategy, items) of a plan by plain loops."""
+    text = (text or "").strip()
+    found = [
+        ("numbered", [m for m in NUMBERED.findall(text)]),
+        ("bullets", [m for m in BULLETS.findall(text)]),
+        ("transition", [f"{w} {d}" for w, d in MOVES.findall(text) if d.strip()]),
+        ("lines", [s.strip() for s in text.splitlines() if len(s.strip()) > 10]),
+    ]
+    for way, items in found:
+        if way != "lines":
+            items = [m.strip().replace("\n", " ") for m in items if m.strip()]
+        if len(items) >= 2:
+            return way, [m[:200] for m in items]
+    return "single", ["Execute task: " + text[:200].replace("\n", " ") if text else "Execute full task (default single-subgoal fallback)"]
+
+
+def test_whole_texts_by_every_strategy(spark, sf, tmp_path):
+    own = [
+        "1. Öffne die Tür\n2) nimm den Schlüssel\n\n 3: geh", "Phase 1: look\nPHASE 2. act now", "\u00a01.\u00a0one\n\u20032.\u2003two",
+        "- á la carte\n* zwei, 2.5 km\n- drei", "1. only one\n- first thing\n- second thing", "First, go é. then: come! Finally leave 3 of 4",
+        "éthen, a next: b\u00a0then\u00a0c", "next\x1cone then\x1ftwo", "ein langer Satz, 12 Wörter\r\nnoch ein langer Satz", "a line of text here\u2028another line of text",
+        "a line of text here\x85another line of text", "kurz", "", None, " \u3000\n", "x" * 300 + "\n" + "é" * 500, "1. " + "wort " * 50_000 + "\n2. end",
+    ]
+    read = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = read.unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(own)], "doc_id long, text string"), True)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for r in docs.collect():
+        way, items = brute_plan(r["text"])
+        want |= {(r["doc_id"], k): (f"subgoal_{k + 1:03d}", m, way == "single", way) for k, m in enumerate(items)}
+    got = entry.queries()["f1_parse_plan_texts"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["subgoal_id"], r["description"], r["is_fallback"], r["strategy"]) == want[r["run_id"], r["subgoal_no"]]
+    assert {r["strategy"] for r in got} == {"numbered", "bullets", "transition", "lines", "single"}
+
+
 def test_failure_words(spark):
     benign = ["0 errors found", "no error", "error: none.", "errors: 0.", "done without error", ""]
     assert values(spark, benign, tt.failure_term) == [None] * len(benign)
