@@ -9,53 +9,76 @@ from stepscope import taxonomy as tx
 from stepscope.functions import text as tt
 
 
+def contradiction_matches(pairs=None) -> list[Column]:
+    """A match per direction of each pair of opposed terms, in order of precedence."""
+    return [
+        tt.match_struct(
+            "planning_error", 0.92, "keyword",
+            rule_id="planning_contradiction",
+            description=f"Task explicitly requires '{mine}', "
+            f"but proposed plan targets '{other}'",
+            safe_alternative=f"Revise plan to target '{mine}' "
+            "as specified in task requirements",
+        )
+        for left, _, right, _ in (tx.OPPOSED_TERMS if pairs is None else pairs)
+        for mine, other in ((left, right), (right, left))
+    ]
+
+
+def omission_matches(terms=None) -> list[Column]:
+    """A match per required term, in order of precedence."""
+    return [
+        tt.match_struct(
+            "planning_error", 0.85, "keyword",
+            rule_id="planning_constraint_omission",
+            description=f"Task explicitly requires '{name}', "
+            "but proposed plan omits it from planned search/actions",
+            safe_alternative=f"Include '{name}' in search parameters and filtering steps",
+        )
+        for name, _ in (tx.REQUIRED_TERMS if terms is None else terms)
+    ]
+
+
+def opposed_flags(text: Column, pairs=None) -> Column:
+    """Whether a text holds the terms of each pair: left, right, left, right."""
+    found = [F.lower(text).rlike(r) for _, a, _, b in (tx.OPPOSED_TERMS if pairs is None else pairs) for r in (a, b)]
+    return F.array(*[F.coalesce(f, F.lit(False)) for f in found])
+
+
+def required_flags(text: Column, terms=None) -> Column:
+    """Whether a text holds each required term."""
+    found = [F.lower(text).rlike(r) for _, r in (tx.REQUIRED_TERMS if terms is None else terms)]
+    return F.array(*[F.coalesce(f, F.lit(False)) for f in found])
+
+
+def acts(plan: Column, verbs: str | None = None) -> Column:
+    return F.lower(plan).rlike(verbs or tx.ACTING_VERBS)
+
+
 def plan_contradiction(task: Column, plan: Column, pairs=None) -> Column:
     """A match when the task names one of two opposed terms and the plan the other."""
     task, plan = F.lower(task), F.lower(plan)
-    found = []
-    for left, left_re, right, right_re in tx.OPPOSED_TERMS if pairs is None else pairs:
-        for mine, mine_re, other, other_re in (
-            (left, left_re, right, right_re),
-            (right, right_re, left, left_re),
-        ):
+    matches, found = iter(contradiction_matches(pairs)), []
+    for _, left_re, _, right_re in tx.OPPOSED_TERMS if pairs is None else pairs:
+        for mine_re, other_re in ((left_re, right_re), (right_re, left_re)):
             clash = (
                 task.rlike(mine_re) & ~task.rlike(other_re)
                 & plan.rlike(other_re) & ~plan.rlike(mine_re)
             )
-            found.append(
-                F.when(
-                    clash,
-                    tt.match_struct(
-                        "planning_error", 0.92, "keyword",
-                        rule_id="planning_contradiction",
-                        description=f"Task explicitly requires '{mine}', "
-                        f"but proposed plan targets '{other}'",
-                        safe_alternative=f"Revise plan to target '{mine}' "
-                        "as specified in task requirements",
-                    ),
-                )
-            )
+            found.append(F.when(clash, next(matches)))
     return F.coalesce(*found)
 
 
 def constraint_omission(task: Column, plan: Column, terms=None, verbs: str | None = None) -> Column:
     """A match when an acting plan leaves out a term the task requires."""
     task, plan = F.lower(task), F.lower(plan)
-    found = []
-    for name, pattern in tx.REQUIRED_TERMS if terms is None else terms:
-        found.append(
-            F.when(
-                task.rlike(pattern) & ~plan.rlike(pattern),
-                tt.match_struct(
-                    "planning_error", 0.85, "keyword",
-                    rule_id="planning_constraint_omission",
-                    description=f"Task explicitly requires '{name}', "
-                    "but proposed plan omits it from planned search/actions",
-                    safe_alternative=f"Include '{name}' in search parameters and filtering steps",
-                ),
-            )
+    found = [
+        F.when(task.rlike(pattern) & ~plan.rlike(pattern), match)
+        for (_, pattern), match in zip(
+            tx.REQUIRED_TERMS if terms is None else terms, omission_matches(terms)
         )
-    return F.when(plan.rlike(verbs or tx.ACTING_VERBS), F.coalesce(*found))
+    ]
+    return F.when(acts(plan, verbs), F.coalesce(*found))
 
 
 def check_plans(

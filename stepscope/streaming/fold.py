@@ -16,7 +16,7 @@ def fresh() -> dict:
         "completed": 0, "stalled": 0, "failed": 0, "last": None, "last_steps": 0,
         "words": [], "ids": [], "texts": [], "fallback": True,
         "planned": False, "placeholder": True, "closed": False,
-        "keys": [], "effects": [], "fails": [], "late": 0,
+        "keys": [], "effects": [], "fails": [], "late": 0, "opposed": [], "required": [],
     }
 
 
@@ -30,6 +30,7 @@ def take_plan(state: dict, row) -> bool:
         ids=list(row.subgoal_ids), texts=list(row.descriptions),
         words=[list(w) for w in row.subgoal_words], total=len(row.subgoal_ids),
         fallback=bool(row.is_fallback),
+        opposed=[bool(x) for x in row.opposed], required=[bool(x) for x in row.required],
         k=0, count=0, completed=0, stalled=0, failed=0, last=None, last_steps=0, matches=0,
     )
     return True
@@ -39,6 +40,19 @@ def failed_repeats(state: dict, key: str) -> int:
     return sum(1 for k in state["fails"] if k == key)
 
 
+def plan_faults(state: dict, row) -> tuple[int | None, int | None]:
+    """First contradicted direction and first left-out term of the task in a search, by number."""
+    if not row.searches:
+        return None, None
+    task, plan = state.get("opposed", []), row.opposed
+    contra = next(
+        (m for m in range(len(task)) if task[m] and not task[m ^ 1] and plan[m ^ 1] and not plan[m]), None
+    )
+    required = state.get("required", [])
+    omitted = next((i for i, t in enumerate(required) if row.acts and t and not row.required[i]), None)
+    return contra, omitted
+
+
 def take_step(state: dict, row, cap: int) -> dict:
     """Fold one finished tool call; returns its counters and the transition, if any."""
     key = row.action_key
@@ -52,15 +66,18 @@ def take_step(state: dict, row, cap: int) -> dict:
         if ended:
             state[{"completed": "completed", "stalled_advanced": "stalled", "failed": "failed"}[ended]] += 1
             state.update(last=ended, last_steps=state["count"], count=0, k=state["k"] + 1)
+    contra, omitted = plan_faults(state, row)
     matched = bool(
         row.said_hit or repeats >= 2 or (effects is not None and effects >= 2) or row.heard_hit
+        or contra is not None or omitted is not None
     )
     state["matches"] += matched
     state["n"] += 1
     state["keys"] = (state["keys"] + [key])[-LOOK_REPEAT:]
     state["effects"] = (state["effects"] + [int(bool(row.no_effect))])[-LOOK_EFFECT:]
     state["fails"] = (state["fails"] + [key if row.response_failed else None])[-LOOK_FAIL:]
-    return {"step_index": step, "repeats": repeats, "no_effects": effects, "ended": ended}
+    return {"step_index": step, "repeats": repeats, "no_effects": effects, "ended": ended,
+            "contradicted": contra, "omitted": omitted}
 
 
 def _outcome(state: dict, row, cap: int) -> str | None:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,7 +15,7 @@ from stepscope import taxonomy as tx
 from stepscope.config import Settings
 from stepscope.functions import text as tt
 from stepscope.operators import detectors, shaping
-from stepscope.plans import drift, parsing, reflection, tracking
+from stepscope.plans import checks, drift, parsing, reflection, tracking
 from stepscope.streaming import fold
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,19 +26,24 @@ args_key string, tool_response string, repeats int, no_effects int, failed_repea
 matches_so_far int, ended string, current_subgoal_id string, status string,
 steps_in_current_subgoal int, completed_subgoals_count int,
 stalled_advanced_subgoals_count int, failed_subgoals_count int, total_subgoals_count int,
-active_subgoal_index int, is_fallback boolean, total_steps int
+active_subgoal_index int, is_fallback boolean, total_steps int,
+reasoning string, contradicted int, omitted int
 """
 _NAMES = [part.split()[0] for part in OUT.replace("\n", " ").split(",")]
 
 
 def prepare(events: DataFrame, phrase: str = detectors.NO_EFFECT, rules=None,
             keys: list[str] = ("action_name", "args_key")) -> DataFrame:
-    """Session events with all flags the fold needs; pure projection."""
+    """Session events with all flags the fold needs; pure projection.
+
+    Events may have a column `reasoning`.
+    """
     plan = F.coalesce(
         F.nullif("plan", F.lit("")),
         F.when(tt.contains_any(F.col("prompt"), tx.PROMPT_PLAN_MARKERS), F.col("prompt")),
         F.lit(""),
     )
+    reasoning = F.coalesce("reasoning", F.lit("")) if "reasoning" in events.columns else F.lit("")
     base = events.select(
         F.col("session_id").cast("string").alias("session_id"),
         "seq",
@@ -48,14 +53,23 @@ def prepare(events: DataFrame, phrase: str = detectors.NO_EFFECT, rules=None,
         F.coalesce("tool_name", F.lit("")).alias("action_name"),
         F.coalesce(tt.canonical_json(F.col("tool_input")), F.lit("")).alias("args_key"),
         F.coalesce("tool_response", F.lit("")).alias("tool_response"),
-        F.lit("").alias("reasoning"),
+        reasoning.alias("reasoning"),
         F.when(F.col("hook_event_name") == "UserPromptSubmit", parsing.plan_items(plan)).alias("_p"),
     )
     ruled = tt.add_keyword_rule(base, "_said", detectors.STEP_TEXT, rules)
     ruled = tt.add_keyword_rule(ruled, "_heard", "tool_response", rules)
     flags = tracking.step_flags(ruled)
     items = F.coalesce(F.col("_p.items"), F.expr("cast(array() as array<string>)"))
+    # A prompt gives the task's terms, a search the terms of the plan it stands for.
+    search = F.lower("action_name").contains("search")
+    planned = F.concat_ws(" ", "action_name", "args_key")
+    named = F.when(F.col("event") == "UserPromptSubmit", F.col("prompt")).when(search, planned)
     return flags.select(
+        search.alias("searches"),
+        checks.acts(planned).alias("acts"),
+        checks.opposed_flags(named).alias("opposed"),
+        checks.required_flags(named).alias("required"),
+        "reasoning",
         "session_id", "seq", "ts", "event", "action_name", "args_key", "tool_response",
         detectors.action_key(list(keys)).alias("action_key"),
         F.col("_said").isNotNull().alias("said_hit"),
@@ -99,7 +113,7 @@ class SessionGuard(StatefulProcessor):
         if row is not None:
             out.update(
                 seq=row.seq, ts=row.ts, action_name=row.action_name, args_key=row.args_key,
-                tool_response=row.tool_response,
+                tool_response=row.tool_response, reasoning=row.reasoning,
             )
         out.update(values)
         return out
@@ -160,7 +174,7 @@ _TYPES = {
                             "matches_so_far", "steps_in_current_subgoal",
                             "completed_subgoals_count", "stalled_advanced_subgoals_count",
                             "failed_subgoals_count", "total_subgoals_count",
-                            "active_subgoal_index", "total_steps")},
+                            "active_subgoal_index", "total_steps", "contradicted", "omitted")},
     "ts": "datetime64[us]",
 }
 
@@ -193,13 +207,17 @@ def stream_guard(
 
 def judge(rows: DataFrame, settings: Settings, rules=None) -> DataFrame:
     """Match, drift, reflection and verdict from the fold's counters; pure projection."""
-    base = rows.withColumn("reasoning", F.lit(""))
-    base = tt.add_keyword_rule(base, "_said", detectors.STEP_TEXT, rules)
+    base = tt.add_keyword_rule(rows, "_said", detectors.STEP_TEXT, rules)
     base = tt.add_keyword_rule(base, "_heard", "tool_response", rules)
+    def numbered(column: str, matches: list) -> Column:
+        return F.coalesce(*[F.when(F.col(column) == i, m) for i, m in enumerate(matches)])
+
     match = F.coalesce(
+        numbered("contradicted", checks.contradiction_matches()),
         F.col("_said"),
         detectors.repetition_match(F.col("repeats")),
         detectors.no_effect_match(F.col("no_effects")),
+        numbered("omitted", checks.omission_matches()),
         F.col("_heard"),
     )
     step = F.col("kind") == "step"
@@ -242,5 +260,5 @@ def judge(rows: DataFrame, settings: Settings, rules=None) -> DataFrame:
         ),
     )
     return detectors.verdicts(base, settings.block_on_critical).drop(
-        "_said", "_heard", "reasoning"
+        "_said", "_heard", "reasoning", "contradicted", "omitted"
     )

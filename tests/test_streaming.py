@@ -96,3 +96,41 @@ def test_block_late_and_idle(spark):
     assert ("block", 4) in kinds and ("allow", 5) in kinds
     # Nobody stopped the session; the idle timer summed it up.
     assert live.where("session_id = 's' and kind = 'summary'").count() == 1
+
+
+def test_live_knows_the_task_and_the_reasoning(spark, monkeypatch):
+    """A live step is judged like the same step of a batch with tasks and reasoning."""
+    monkeypatch.setitem(globals(), "COLUMNS", COLUMNS + ", reasoning string")
+    plan = "1. search the shop\n2. buy the shoes\n3. close the order"
+    told = {
+        "a": "Buy running shoes for men under 50 dollars", "b": "find a cheap direct flight for women",
+        "c": "Search the web for news of today", "d": "Compare men and women in sports, boys too",
+    }
+    calls = [
+        ("search_items", '{"query":"women running shoes"}', "", "ok"), ("search_items", '{"query":"find running shoes"}', "", "ok"),
+        ("search_items", '{"query":"expensive layover women"}', "", "ok"), ("click", '{"id":"women find"}', "", "ok"),
+        ("open_page", '{"id":1}', "nothing happens, malformed action", "ok"), ("search_items", '{"query":"find girls"}', "malformed action: nothing happens", "HTTP 404"),
+        ("Search", '{"query":"find shoes"}', "", "HTTP 404 from the api"), ("search_items", '{"query":"men"}', None, "ok"),
+    ]
+    names = COLUMNS.replace("ts timestamp", "ts string")
+    events = [(s, 0, "2024-01-01 00:00:00", "UserPromptSubmit", task, plan, "", "", "", None) for s, task in told.items()]
+    events += [
+        (s, i + 1, f"2024-01-01 00:00:{i + 1:02d}", "PostToolUse", "", "", name, args, response, why)
+        for s in told for i, (name, args, why, response) in enumerate(calls)
+    ]
+    live = run_stream(
+        spark, spark.createDataFrame(events, names).withColumn("ts", F.to_timestamp("ts")), Settings()
+    ).where("kind = 'step'")
+    steps = spark.createDataFrame(
+        [(s, i, float(i), why or "", name, args, response) for s in told for i, (name, args, why, response) in enumerate(calls)],
+        "run_id string, step_index int, timestamp double, reasoning string, action_name string, args_key string, tool_response string",
+    )
+    plans = spark.createDataFrame([(s, t, plan) for s, t in told.items()], "run_id string, task_description string, proposed_plan string")
+    batch = detectors.check_steps(steps, plans, Settings())
+    shown = ["warning", "category", "confidence", "flagged", "suggestions"]
+    read = lambda frame, key: {(r[key], r["step_index"]): [r[c] for c in shown] for r in frame.collect()}
+    got, want = read(live, "session_id"), read(batch, "run_id")
+    assert got == want and len(got) == len(told) * len(calls)
+    said = " ".join(str(v[0]) for v in got.values())
+    for rule in ("planning_contradiction", "planning_constraint_omission", "tool_use_malformed_action"):
+        assert rule in said
