@@ -5,6 +5,7 @@ from __future__ import annotations
 from stepscope.llm.fingerprints import op9_fingerprints
 from stepscope.llm.langid import op1_language_id
 from stepscope.llm.packing import op6_best_fit_packing
+from stepscope.llm.periodic import op11_periodic_runs
 from stepscope.llm.pieces import op7_sentencepiece
 from stepscope.llm.quality import op2_quality_rules
 from stepscope.llm.secrets import op10_secret_scan
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_simhash_tiles": op8_simhash_tiles,
     "op9_fingerprints": op9_fingerprints,
     "op10_secret_scan": op10_secret_scan,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 SQL = {"op5_warc_normalise": OP5_SQL}
