@@ -6,6 +6,7 @@ from stepscope.llm.fingerprints import op9_fingerprints
 from stepscope.llm.langid import op1_language_id
 from stepscope.llm.packing import op6_best_fit_packing
 from stepscope.llm.periodic import op11_periodic_runs
+from stepscope.llm.phrases import OP12_SQL, op12_collocations
 from stepscope.llm.pieces import op7_sentencepiece
 from stepscope.llm.quality import op2_quality_rules
 from stepscope.llm.secrets import op10_secret_scan
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_secret_scan": op10_secret_scan,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
 }
-SQL = {"op5_warc_normalise": OP5_SQL}
+SQL = {"op5_warc_normalise": OP5_SQL, "op12_collocations": OP12_SQL}
