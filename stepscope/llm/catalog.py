@@ -8,6 +8,7 @@ from stepscope.llm.packing import op6_best_fit_packing
 from stepscope.llm.periodic import op11_periodic_runs
 from stepscope.llm.phrases import OP12_SQL, op12_collocations
 from stepscope.llm.pieces import op7_sentencepiece
+from stepscope.llm.private import op13_private_spans
 from stepscope.llm.quality import op2_quality_rules
 from stepscope.llm.secrets import op10_secret_scan
 from stepscope.llm.tiles import op8_simhash_tiles
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_collocations": op12_collocations,
+    "op13_private_spans": op13_private_spans,
 }
 SQL = {"op5_warc_normalise": OP5_SQL, "op12_collocations": OP12_SQL}
