@@ -6,15 +6,17 @@ more leaves than fit the memory budget is extended by a word, and prefixes are p
 groups within the budget. Each group's subtree is built on its own from its sorted leaves,
 and the count of a phrase is the total of the leaves below its node.
 
-Phrases that occur too rarely need no node. Two fixed-size filters, of frequent words and
-of frequent pairs, shorten the suffixes before they are shuffled. A filter lets a rare one
-pass now and then, but never loses a frequent one, so counts stay exact.
+Phrases that occur too rarely need no node. Before suffixes are shuffled, three passes
+count words, pairs and triples in hashed buckets; a filter of fixed size holds the buckets
+that reach the least count, and suffixes end where it lets them go no further. A filter
+lets a rare phrase pass now and then, but never loses a frequent one, so counts stay exact.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -28,11 +30,13 @@ from stepscope.llm.common import arrow_limits, stored, table
 
 DEPTH = 4  # words of a phrase at most
 LEAST = 30  # occurrences of a candidate
-BUDGET = 50_000  # leaves of a group's subtree
+BUDGET = 250_000  # leaves of a group's subtree
 HOT = 100_000  # prefixes of one length that are extended, at most
 TOP = 2000  # phrases reported for each language
 WITHIN = 80  # a phrase goes if a longer one around it has this percent of its count
 FILTER_BITS = (16, 27)  # a filter has 2^16 to 2^27 bits, at most 16 MB
+WORD_BITS = 24
+SLOT = 1 << 16  # buckets whose counts travel together
 
 CHUNK_WORDS = 2_000_000  # words a task numbers before it hands on counts
 CHUNK_DISTINCT = 400_000
@@ -87,9 +91,10 @@ class Chunk:
         self.words = [b"", *(w for _, _, w in rows)]
 
     def hashes(self) -> np.ndarray:
-        """Of each (language, word): what Spark's xxhash64 gives for both, joined by a break."""
+        """A hash of each (language, word)."""
         of = xxhash.xxh64_intdigest
-        return np.array([of(lang + b"\n" + w, 42) for lang, w in zip(self.langs, self.words)], np.uint64)
+        seeds = {lang: of(lang) for lang in self.by_lang} | {b"": of(b"")}
+        return np.array([of(w, seeds[lang]) for lang, w in zip(self.langs, self.words)], np.uint64)
 
     def texts(self, ids: np.ndarray, langs: bool = False) -> pa.Array:
         return pa.array(self.langs if langs else self.words, pa.binary()).take(pa.array(ids)).cast(pa.string())
@@ -123,73 +128,128 @@ def scan(docs: DataFrame, work: Callable[[Chunk], dict[str, pa.Array]], schema:
     return docs.select("lang", "text").mapInArrow(run, schema)
 
 
-def counted(chunk: Chunk) -> dict[str, pa.Array]:
-    """Each word of the chunk with its count."""
-    n = np.bincount(chunk.ids, minlength=len(chunk.words))[1:]
-    each = np.arange(1, len(chunk.words))
-    return {"lang": chunk.texts(each, True), "phrase": chunk.texts(each), "f": pa.array(n.astype(np.int64))}
+@dataclass
+class Filter:
+    """Hashed buckets of phrases that may reach the least count."""
 
+    bits: int
+    held: np.ndarray  # a bit for each bucket
 
-def bits_for(n: int) -> int:
-    low, high = FILTER_BITS
-    return min(max(int(n).bit_length(), low), high)
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        bucket = buckets(keys, self.bits)
+        return (self.held[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def bitmap(buckets: DataFrame, bits: int) -> np.ndarray:
-    """Set bits from rows of `bucket`; at most 2^bits / 64 rows come to the driver."""
-    rows = buckets.groupBy(F.shiftright("bucket", 6).alias("slot")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bucket").bitwiseAND(63).cast("int"))).alias("set")
-    )
-    got = rows.toArrow()
-    out = np.zeros(max(1, 1 << bits >> 6), np.uint64)
-    out[got["slot"].to_numpy().astype(np.int64)] = got["set"].to_numpy().astype(np.int64).view(np.uint64)
-    return out
+def buckets(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def holds(bitmap: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    bucket = bucket.astype(np.uint64)
-    return (bitmap[bucket >> np.uint64(6)] >> (bucket & np.uint64(63)) & np.uint64(1)).astype(bool)
+def phrase_keys(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the phrase of `size` words at each place, from the hashes of words."""
+    x = hashes[at]
+    for d in range(1, size):
+        x = (x * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[at + d]
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x
 
 
-def pair_buckets(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """A bucket for each pair of word hashes."""
-    x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return x >> np.uint64(64 - bits)
+def passing(chunk: Chunk, filters: list[Filter]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of the words in order, and for each size where a phrase passes its filter."""
+    own = chunk.hashes()
+    hashes = own[chunk.ids]
+    found = []
+    for size, one in enumerate(filters, 1):
+        if size == 1:
+            ok = (chunk.ids > 0) & one.passes(own)[chunk.ids]
+        else:
+            ok = np.zeros(len(hashes), bool)
+            at = np.flatnonzero(found[-1][:-1] & found[-1][1:])
+            ok[at[one.passes(phrase_keys(hashes, at, size))]] = True
+        found.append(ok)
+    return hashes, found
+
+
+def bucket_counts(filters: list[Filter], bits: int, most: int) -> Callable:
+    """Counts of the buckets of phrases one word longer than the filters have.
+
+    Comes in rows of a slot each: places in the slot, then counts, which stop at `most`.
+    With no filters yet, rows with slot -1 say how many words a language has.
+    """
+    kind = np.uint8 if most < 256 else np.uint32
 
+    def work(chunk: Chunk) -> dict[str, pa.Array]:
+        langs, words = [], []
+        if filters:
+            hashes, found = passing(chunk, filters)
+            at = np.flatnonzero(found[-1][:-1] & found[-1][1:])
+            bucket, n = np.unique(buckets(phrase_keys(hashes, at, len(filters) + 1), bits), return_counts=True)
+        else:
+            each = np.bincount(chunk.ids, minlength=len(chunk.words))[1:]
+            bucket, place = np.unique(buckets(chunk.hashes()[1:], bits), return_inverse=True)
+            n = np.bincount(place, each, len(bucket)).astype(np.int64)
+            for lang, known in chunk.by_lang.items():
+                langs.append(lang.decode())
+                words.append(int(each[np.fromiter(known.values(), np.int64, len(known))[1:] - 1].sum()))
+        first = np.flatnonzero(np.diff(bucket // SLOT, prepend=-1))
+        ends = [*first[1:].tolist(), len(bucket)]
+        places, counts = (bucket % SLOT).astype(np.uint16), np.minimum(n, most).astype(kind)
+        payload = [places[a:z].tobytes() + counts[a:z].tobytes() for a, z in zip(first.tolist(), ends)]
+        return {
+            "slot": pa.array([*(bucket[first] // SLOT).tolist(), *[-1] * len(langs)], pa.int64()),
+            "counts": pa.array([*payload, *[b""] * len(langs)], pa.binary()),
+            "lang": pa.array([None] * len(payload) + langs, pa.string()),
+            "n": pa.array([None] * len(payload) + words, pa.int64()),
+        }
 
-def frequent(chunk: Chunk, words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the chunk's words in order, and whether the filter lets each pass."""
-    h = chunk.hashes()
-    passed = holds(words, h & np.uint64((1 << bits) - 1))
-    passed[0] = False
-    return h[chunk.ids], passed[chunk.ids]
+    return work
 
 
-def pairs_counted(words: np.ndarray, word_bits: int, bits: int) -> Callable:
-    def work(chunk: Chunk) -> dict[str, pa.Array]:
-        h, passed = frequent(chunk, words, word_bits)
-        at = np.flatnonzero(passed[1:] & passed[:-1])
-        bucket, n = np.unique(pair_buckets(h[at], h[at + 1], bits), return_counts=True)
-        return {"bucket": pa.array(bucket.astype(np.int64)), "n": pa.array(n.astype(np.int64))}
+COUNTS = "slot long, counts binary, lang string, n long"
 
-    return work
+
+def filter_of(rows: DataFrame, bits: int, least: int) -> Filter:
+    """Add up the slots; the driver gets a bit for each bucket, 16 MB at most."""
+    kind = np.uint8 if least < 256 else np.uint32
+    width = 2 + np.dtype(kind).itemsize
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                size = len(counts) // width
+                if slot not in total:
+                    total[slot] = np.zeros(SLOT, np.int64)
+                places = np.frombuffer(counts, np.uint16, size)
+                total[slot][places] += np.frombuffer(counts, kind, size, 2 * size)
+        held = [np.packbits(t >= least, bitorder="little").tobytes() for t in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array(held, pa.binary())], ["slot", "held"])
+
+    dealt = rows.where("slot >= 0").select("slot", "counts").repartition("slot")
+    out = np.zeros(max(1 << bits, SLOT) // 8, np.uint8)
+    for row in dealt.mapInArrow(added, "slot long, held binary").collect():
+        at = row["slot"] * SLOT // 8
+        out[at : at + SLOT // 8] = np.frombuffer(row["held"], np.uint8)
+    return Filter(bits, out)
+
+
+def bits_for(n: int) -> int:
+    low, high = FILTER_BITS
+    return min(max(int(n).bit_length(), low), high)
 
 
-def suffixes(words: np.ndarray, word_bits: int, pairs: np.ndarray, bits: int) -> Callable:
-    """Suffixes of two to four words, each as far as words and pairs are frequent."""
+def suffixes(filters: list[Filter]) -> Callable:
+    """Suffixes with their counts, each as long as its phrases pass, four words at most."""
 
     def work(chunk: Chunk) -> dict[str, pa.Array]:
-        h, passed = frequent(chunk, words, word_bits)
-        goes_on = np.zeros(len(h) + DEPTH, bool)
-        at = np.flatnonzero(passed[1:] & passed[:-1])
-        goes_on[at[holds(pairs, pair_buckets(h[at], h[at + 1], bits))]] = True
-        start = np.flatnonzero(goes_on)
+        _, found = passing(chunk, filters)
+        for _ in range(len(found), DEPTH):
+            more = found[-1].copy()
+            more[:-1] &= found[-1][1:]
+            more[-1] = False
+            found.append(more)
+        start = np.flatnonzero(found[0])
         ids = np.concatenate([chunk.ids, np.zeros(DEPTH, np.int64)])
-        window, more = [ids[start], ids[start + 1]], np.ones(len(start), bool)
-        for d in range(2, DEPTH):
-            more = more & goes_on[start + d - 1]
-            window.append(np.where(more, ids[start + d], 0))
+        window = [np.where(ok[start], ids[start + d], 0) for d, ok in enumerate(found)]
         order = np.lexsort(window[::-1])
         window = [w[order] for w in window]
         new = np.ones(len(order), bool)
@@ -205,7 +265,7 @@ def suffixes(words: np.ndarray, word_bits: int, pairs: np.ndarray, bits: int) ->
 
 
 def subtree(leaves: pa.Table, least: int) -> pa.Table:
-    """Nodes of a group's subtree, two words deep or more, that have the least count.
+    """Nodes of a group's subtree that have the least count.
 
     Leaves are put in order; a node is a stretch of leaves with equal first words, and its
     count is their total. A node above the group's prefix has leaves elsewhere too and is
@@ -219,7 +279,7 @@ def subtree(leaves: pa.Table, least: int) -> pa.Table:
     for depth, word in enumerate(["lang", *WORDS]):
         column = leaves[word].combine_chunks()
         new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-        if depth < 2:
+        if depth == 0:
             continue
         first = np.flatnonzero(new)
         total = np.add.reduceat(f, first)
@@ -245,7 +305,8 @@ def grouped(leaves: DataFrame, budget: int) -> tuple[DataFrame, list[DataFrame]]
 
     A prefix is extended while more leaves than the budget lie below it. At most HOT
     prefixes of a length can, as the budget is at least one HOTth of all leaves, so they
-    are broadcast. Prefixes are dealt to twice as many groups as the budget asks for.
+    are broadcast. Prefixes are dealt to twice as many groups as the budget asks for, and
+    to as many as there are shuffle partitions.
     """
     total = leaves.count()
     budget = max(budget, -(-total // HOT))
@@ -257,13 +318,12 @@ def grouped(leaves: DataFrame, budget: int) -> tuple[DataFrame, list[DataFrame]]
         hot = stored(below.where(F.col("n") > budget), "hot")
         if hot.isEmpty():
             break
-        if d > 1:
-            upper.append(hot.select("lang", F.concat_ws(" ", *WORDS[:d]).alias("phrase"), "f"))
+        upper.append(hot.select("lang", F.concat_ws(" ", *WORDS[:d]).alias("phrase"), "f"))
         marks = F.broadcast(hot.select(*key, F.lit(True).alias(f"hot{d}")))
         leaves = leaves.join(marks, key, "left")
-        inner = inner.join(F.broadcast(hot.select(*key)), key, "left_semi")
+        inner = leaves.where(F.col(f"hot{d}"))
         depth = F.when(F.col(f"hot{d}"), F.lit(d + 1)).otherwise(depth)
-    groups = max(1, -(-2 * total // budget))
+    groups = max(-(-2 * total // budget), int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     prefix = [F.when(F.col("depth") > i, F.col(w)).otherwise("") for i, w in enumerate(WORDS)]
     group = F.pmod(F.xxhash64("lang", *prefix), F.lit(groups))
     return leaves.withColumn("depth", depth.cast("long")).withColumn("group", group), upper
@@ -280,21 +340,16 @@ def phrase_counts(
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    words = scan(docs, counted, "lang string, phrase string, f long")
-    words = stored(words.groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "words")
-    sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = words.where(F.col("f") >= least)
-
-    all_words = words.agg(F.sum("f")).first()[0] or 0
-    word_bits, bits = bits_for(16 * often.count()), bits_for(all_words // 4)
-    own = F.xxhash64(F.concat_ws("\n", "lang", "phrase")).bitwiseAND((1 << word_bits) - 1)
-    word_map = bitmap(often.select(own.alias("bucket")), word_bits)
-    counts = scan(docs, pairs_counted(word_map, word_bits, bits), "bucket long, n long")
-    counts = counts.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    pair_map = bitmap(counts, bits)
+    rows = stored(scan(docs, bucket_counts([], WORD_BITS, least), COUNTS), "words")
+    sizes = rows.where("slot < 0").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
+    bits = bits_for((sizes.agg(F.sum("n")).first()[0] or 0) // 4)
+    filters = [filter_of(rows, WORD_BITS, least)]
+    for _ in range(2, DEPTH):
+        rows = scan(docs, bucket_counts(filters, bits, least), COUNTS)
+        filters = [*filters, filter_of(rows, bits, least)]
 
     columns = ", ".join(f"{w} string" for w in ["lang", *WORDS])
-    leaves = scan(docs, suffixes(word_map, word_bits, pair_map, bits), f"{columns}, f long")
+    leaves = scan(docs, suffixes(filters), f"{columns}, f long")
     leaves = stored(leaves.groupBy("lang", *WORDS).agg(F.sum("f").alias("f")), "leaves")
     dealt, upper = grouped(leaves, budget)
     nodes = dealt.select("group", "depth", "lang", *WORDS, "f").groupBy("group").applyInArrow(
@@ -302,7 +357,7 @@ def phrase_counts(
     )
     for more in upper:
         nodes = nodes.unionByName(more.where(F.col("f") >= least))
-    return stored(nodes.unionByName(often), "phrases"), sizes
+    return stored(nodes, "phrases"), sizes
 
 
 def collocations(
