@@ -9,8 +9,9 @@ from stepscope.catalog import inputs as src
 from stepscope.catalog.registry import query, with_
 from stepscope.catalog.reshape import contains_sql, quoted
 from stepscope.functions import text as tt
-from stepscope.operators import evaluation, mining, ordered, vectors
+from stepscope.operators import evaluation, mining, ordered, similarity, vectors
 from stepscope.plans import checks, parsing
+from stepscope.session import keep
 
 _STOP = quoted(tx.STOPWORDS)
 TOKENS_SQL = f"""tokens AS (
@@ -27,9 +28,12 @@ TFIDF_SQL = """raw AS (
 tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
 
+def _rows(spark, sf):
+    return vectors.document_vectors(src.texts(spark, sf))
+
+
 def _vectors(spark, sf):
-    docs = src.texts(spark, sf)
-    return vectors.tfidf(vectors.term_counts(docs), vectors.idf_table(docs))
+    return vectors.postings(_rows(spark, sf))
 
 
 @query(
@@ -81,6 +85,45 @@ def d4(spark, sf):
     )
 
 
+SIMILAR = 0.8
+# Documents with equal shares of equal terms are one.
+_PAIRS_SQL = f"""same AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY shares) AS rep FROM (
+    SELECT doc_id, list((term, n / doc_len) ORDER BY term) AS shares FROM (
+      SELECT doc_id, term, count(*) AS n, any_value(doc_len) AS doc_len FROM (
+        SELECT doc_id, len(tokens) AS doc_len, unnest(tokens) AS term FROM tokens) GROUP BY doc_id, term)
+    GROUP BY doc_id)),
+reps AS (SELECT t.* FROM tfidf t JOIN same s ON s.doc_id = t.doc_id AND s.rep = t.doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, round(sum(x.weight * y.weight), 9) AS similarity
+  FROM reps x JOIN reps y ON x.term = y.term AND x.doc_id < y.doc_id
+  GROUP BY ALL HAVING round(sum(x.weight * y.weight), 9) >= {SIMILAR})"""
+
+
+@query(
+    "d4_similar_pairs",
+    with_(TOKENS_SQL, IDF_SQL, TFIDF_SQL, _PAIRS_SQL)
+    + "SELECT a, b, round(similarity, 6) AS similarity FROM pairs",
+)
+def d4_similar(spark, sf):
+    """All pairs of different documents that are alike; copies are one document."""
+    pairs, _ = similarity.similar_pairs(_rows(spark, sf), SIMILAR)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "similarity_components",
+    "WITH RECURSIVE " + ",\n".join((TOKENS_SQL, IDF_SQL, TFIDF_SQL, _PAIRS_SQL)) + """,
+    links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reach AS (SELECT DISTINCT rep AS node, rep AS seen FROM same
+      UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+    least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+    SELECT s.doc_id, l.component_id FROM same s JOIN least l ON l.node = s.rep""",
+)
+def similar_components(spark, sf):
+    return similarity.similarity_components(_rows(spark, sf), SIMILAR)
+
+
 @query(
     "d5_centroids",
     with_(TOKENS_SQL, IDF_SQL, TFIDF_SQL) + """, sums AS (
@@ -129,8 +172,10 @@ _BARS_SQL = "CASE category " + " ".join(
     FROM best WHERE sim >= {_BARS_SQL}""",
 )
 def d6(spark, sf):
-    docs = src.texts(spark, sf)
-    found = vectors.nearest_pattern(docs, _patterns(spark, sf), vectors.idf_table(docs))
+    counted = keep(vectors.counted_docs(src.texts(spark, sf)), "counted")
+    idf = keep(vectors.idf_of(counted), "idf")
+    own = vectors.weighted(counted, idf)
+    found = vectors.nearest_by_vector(own, _patterns(spark, sf), idf)
     return found.select(
         "doc_id", "pattern_no", F.round("similarity", 6).alias("similarity"),
         F.col("match.category").alias("category"),

@@ -1,17 +1,25 @@
-"""Sparse text vectors as long tables (doc, term, weight), and what is done with them.
+"""Sparse text vectors, one row a document, and what is done with them.
 
-No operator here pairs documents with each other: similarities are taken for given
-pairs, against centroids, or through a cluster's sum vector, so that the work grows
-with the number of postings.
+A vector is an array of (df, term, weight) in the document's row, rarest terms first, of
+length 1. It is built without a shuffle by (document, term): equal tokens lie next to
+each other once the row's tokens are sorted. No operator here pairs documents with each
+other: similarities are taken for given pairs, against centroids, or through a cluster's
+sum vector, so that the work grows with the number of postings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepscope import taxonomy as tx
 from stepscope.functions import text as tt
+from stepscope.session import keep, spread
+
+COMMON_TERMS = 250_000  # terms whose idf is broadcast; about 15 MB
+SMALL_LIBRARY = 100_000  # postings of a pattern library that is broadcast; about 5 MB
+SLACK = 1e-9  # rounding that a bound on similarity allows for
+
 
 def doc_tokens(docs: DataFrame, text: str = "text", stopwords=None) -> DataFrame:
     return docs.withColumn("tokens", tt.tokens(F.col(text), stopwords))
@@ -60,6 +68,120 @@ def tfidf(
     return raw.withColumn("weight", F.col("_raw") / norm).select(*key, "term", "weight")
 
 
+def run_lengths(tokens: Column) -> Column:
+    """Distinct tokens in order with their counts: array of (term, n), linear after a sort."""
+
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        ends = F.filter(
+            F.sequence(F.lit(1), n),
+            lambda i: (i == n) | (F.get(words, i) != F.get(words, i - 1)),
+        )
+        return F.when(n > 0, tt.let(ends, lambda last: F.transform(
+            last,
+            lambda i, k: F.struct(
+                F.get(words, i - 1).alias("term"),
+                (i - F.coalesce(F.get(last, k - 1), F.lit(0))).alias("n"),
+            ),
+        )))
+
+    return tt.let(F.sort_array(tokens), of)
+
+
+def counted_docs(
+    docs: DataFrame, key: list[str] = ("doc_id",), text: str = "text", stopwords=None
+) -> DataFrame:
+    """(key, doc_len, terms): each document's terms with their counts, in its row."""
+    rows = spread(docs.select(*key, F.col(text).alias("_text")))
+    return rows.select(*key, tt.tokens(F.col("_text"), stopwords).alias("_tokens")).select(
+        *key, F.size("_tokens").alias("doc_len"), run_lengths(F.col("_tokens")).alias("terms")
+    )
+
+
+def idf_of(counted: DataFrame) -> DataFrame:
+    """`idf_table` from counted documents, which need not be taken apart again."""
+    freq = counted.select(F.explode("terms.term").alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("df")
+    )
+    total = counted.count()
+    return freq.withColumn("idf", F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0)
+
+
+def weighted(counted: DataFrame, idf: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
+    """(key, vector) of counted documents by idf(term, df, idf); unknown terms are dropped.
+
+    The idf of the COMMON_TERMS commonest terms, which most postings have, is broadcast:
+    no task gets all postings of one such term. Only the rest, if there is one, is joined
+    by a shuffle on term, and what is left comes together by document. A document without
+    a known term has no row. Both tables are read twice and should lie in files.
+    """
+    own = counted.select(*key, "doc_len", F.explode("terms").alias("t")).select(
+        *key, F.col("t.term").alias("term"), (F.col("t.n") / F.col("doc_len")).alias("_tf")
+    )
+    known = idf.select("term", "df", "idf")
+    if known.count() <= COMMON_TERMS:
+        found = own.join(F.broadcast(known), "term")
+    else:
+        common = known.orderBy(F.desc("df"), "term").limit(COMMON_TERMS)
+        tried = own.join(F.broadcast(common), "term", "left")
+        rest = tried.where("idf IS NULL").drop("df", "idf").join(known, "term")
+        found = tried.where("idf IS NOT NULL").unionByName(rest)
+    entry = F.struct("df", "term", (F.col("_tf") * F.col("idf")).alias("weight"))
+    rows = found.select(*key, entry.alias("_e")).groupBy(*key).agg(
+        F.sort_array(F.collect_list("_e")).alias("_v")  # one document's distinct terms
+    )
+    return rows.select(*key, unit(F.col("_v")).alias("vector"))
+
+
+def unit(vector: Column) -> Column:
+    """The vector scaled to length 1."""
+    square = F.aggregate(vector, F.lit(0.0), lambda acc, e: acc + e["weight"] * e["weight"])
+    return tt.let(
+        F.sqrt(square),
+        lambda size: F.transform(
+            vector, lambda e: F.struct(e["df"], e["term"], (e["weight"] / size).alias("weight"))
+        ),
+    )
+
+
+def document_vectors(
+    docs: DataFrame, key: list[str] = ("doc_id",), text: str = "text", stopwords=None
+) -> DataFrame:
+    """(key, vector) of documents weighted by their own idf table.
+
+    The texts are taken apart once; counts and idf lie in the shared folder for the passes
+    that follow.
+    """
+    counted = keep(counted_docs(docs, key, text, stopwords), "counted")
+    return weighted(counted, keep(idf_of(counted), "idf"), key)
+
+
+def postings(vectors: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
+    """Vectors as a long table (key, term, weight)."""
+    return vectors.select(*key, F.explode("vector").alias("_e")).select(
+        *key, F.col("_e.term").alias("term"), F.col("_e.weight").alias("weight")
+    )
+
+
+def prefix_size(vector: Column, least: float) -> Column:
+    """How many of the rarest terms a vector must share one of to reach a cosine of `least`.
+
+    The terms beyond them have a length below `least`, so that by Cauchy and Schwarz no
+    vector of length 1 reaches it with these alone.
+    """
+    free = 1 - least * least + SLACK
+
+    def more(acc: Column, e: Column) -> Column:
+        go_on = acc["used"] <= free
+        return F.struct(
+            F.when(go_on, acc["used"] + e["weight"] * e["weight"]).otherwise(acc["used"]).alias("used"),
+            F.when(go_on, acc["k"] + 1).otherwise(acc["k"]).alias("k"),
+        )
+
+    start = F.struct(F.lit(0.0).alias("used"), F.lit(0).alias("k"))
+    return F.aggregate(vector, start, more, lambda acc: acc["k"])
+
+
 def cosine_pairs(
     vectors: DataFrame, pairs: DataFrame, left: str = "a", right: str = "b", key: str = "doc_id"
 ) -> DataFrame:
@@ -145,64 +267,6 @@ def medoids(
     )
 
 
-def pattern_postings(patterns: DataFrame, idf: DataFrame) -> DataFrame:
-    """Centroids of pattern texts: (term, pattern_no, weight)."""
-    counts = term_counts(patterns, ["pattern_no"], "trigger_description")
-    return tfidf(counts, idf, ["pattern_no"])
-
-
-def pattern_similarity(
-    docs: DataFrame, patterns: DataFrame, idf: DataFrame,
-    key: list[str] = ("doc_id",), text: str = "text",
-) -> DataFrame:
-    """Best pattern per document: (key, pattern_no, similarity); earlier pattern on ties.
-
-    patterns(pattern_no, trigger_description, ...). One join on term brings idf and
-    pattern weights together; row -1 of a document carries its squared length.
-    """
-    postings = pattern_postings(patterns, idf)
-    by_term = postings.groupBy("term").agg(
-        F.collect_list(F.struct("pattern_no", "weight")).alias("hits")  # at most one per pattern
-    )
-    terms = idf.select("term", "idf").join(by_term, "term", "left")
-    counts = term_counts(docs, key, text)
-    raw = F.col("n") / F.col("doc_len") * F.col("idf")
-    none = F.expr("cast(array() as array<struct<pattern_no:int,weight:double>>)")
-    parts = F.concat(
-        F.array(F.struct(F.lit(-1).alias("pattern_no"), F.col("_raw").alias("weight"))),
-        F.coalesce("hits", none),
-    )
-    dots = (
-        counts.join(terms, "term")
-        .withColumn("_raw", raw)
-        .select(*key, "_raw", F.explode(parts).alias("p"))
-        .groupBy(*key, F.col("p.pattern_no").alias("pattern_no"))
-        .agg(F.sum(F.col("_raw") * F.col("p.weight")).alias("dot"))
-    )
-    entry = F.struct("pattern_no", "dot")
-    listed = dots.groupBy(*key).agg(
-        F.collect_list(entry).alias("dots")  # at most one per pattern
-    )
-    length = F.sqrt(F.filter("dots", lambda d: d["pattern_no"] == -1)[0]["dot"])
-    ranked = F.transform(
-        F.filter("dots", lambda d: d["pattern_no"] >= 0),
-        lambda d: F.struct(
-            F.round(d["dot"] / F.col("_len"), 12).alias("similarity"),
-            (-d["pattern_no"]).alias("rank"),
-        ),
-    )
-    return (
-        listed.withColumn("_len", length)
-        .withColumn("_best", F.array_max(ranked))
-        .where(F.col("_best").isNotNull())
-        .select(
-            *key,
-            (-F.col("_best.rank")).alias("pattern_no"),
-            F.col("_best.similarity").alias("similarity"),
-        )
-    )
-
-
 def nearest_pattern(
     docs: DataFrame,
     patterns: DataFrame,
@@ -211,14 +275,64 @@ def nearest_pattern(
     text: str = "text",
     thresholds: dict[str, float] | None = None,
     default_threshold: float = 0.82,
+) -> DataFrame:
+    """`nearest_by_vector` of texts."""
+    idf = keep(idf, "idf")
+    own = weighted(keep(counted_docs(docs, key, text), "counted"), idf, key)
+    return nearest_by_vector(own, patterns, idf, key, thresholds, default_threshold)
+
+
+def nearest_by_vector(
+    own: DataFrame,
+    patterns: DataFrame,
+    idf: DataFrame,
+    key: list[str] = ("doc_id",),
+    thresholds: dict[str, float] | None = None,
+    default_threshold: float = 0.82,
 ) -> DataFrame:
     """Pattern match per document where the category's threshold is reached.
 
-    patterns(pattern_no, pattern_id, category, trigger_description, safe_alternative,
-    confidence)
+    own(key, vector); patterns(pattern_no, pattern_id, category, trigger_description,
+    safe_alternative, confidence). The most similar pattern decides, the earliest on ties.
+
+    A pattern's terms that cannot bring it to the lowest threshold by themselves make no
+    candidates: a document has to share one of the others. The postings of a small library
+    are broadcast, and sums stay where the documents are. For a larger one the documents
+    that share a leading term are found first, and only theirs are joined by term.
     """
     bars = {**tx.CATEGORY_THRESHOLDS, **(thresholds or {})}
-    best = pattern_similarity(docs, patterns, idf, key, text)
+    least = max(0.0, min([*bars.values(), default_threshold]))
+    asked = keep(counted_docs(patterns, ["pattern_no"], "trigger_description"), "asked")
+    library = weighted(asked, idf, ["pattern_no"])
+    asks = library.select(
+        "pattern_no", F.posexplode("vector").alias("_at", "_e"),
+        prefix_size(F.col("vector"), least - SLACK).alias("_k"),
+    ).select(
+        "pattern_no", F.col("_e.term").alias("term"), F.col("_e.weight").alias("_w"),
+        (F.col("_at") < F.col("_k")).alias("_leads"),
+    )
+    asks = keep(asks, "patterns")
+    if asks.count() <= SMALL_LIBRARY:
+        asks = F.broadcast(asks)
+    else:
+        own = keep(own, "vectors")
+        terms = asks.where("_leads").select("term").distinct()
+        near = own.select(*key, F.explode("vector.term").alias("term")).join(terms, "term")
+        own = own.join(near.select(*key).distinct(), list(key), "left_semi")
+    sums = (
+        postings(own, key)
+        .join(asks, "term")
+        .groupBy(*key, "pattern_no")
+        .agg(F.sum(F.col("weight") * F.col("_w")).alias("_dot"), F.bool_or("_leads").alias("_leads"))
+        .where("_leads")
+    )
+    similarity = F.round("_dot", 12)
+    order = F.struct(similarity.alias("similarity"), (-F.col("pattern_no")).alias("rank"))
+    best = sums.groupBy(*key).agg(F.max(order).alias("_best")).select(
+        *key,
+        (-F.col("_best.rank")).alias("pattern_no"),
+        F.col("_best.similarity").alias("similarity"),
+    )
     facts = patterns.select(
         "pattern_no", "pattern_id", "category", "trigger_description", "safe_alternative",
         F.when(F.coalesce("confidence", F.lit(0.0)) <= 0, F.lit(1.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: cut lineage, read by column."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/step-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a table that lies in fewer splits than there are cores.
 
