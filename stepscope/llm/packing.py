@@ -7,8 +7,11 @@ histogram of piece lengths, which has no more entries than a sequence has tokens
    up to the longest of its group, so that few sizes remain;
 2. configurations of these sizes, the ways to fill a sequence, are optimised as a linear
    program by column generation and rounded down;
-3. the places of each configuration are given to actual lengths of the group;
-4. what is left over and the small lengths go best-fit into the room that remains.
+3. the places of each configuration are given to actual lengths of the group, the last one
+   to the longest length of any group that still fits;
+4. sequences that stay too empty are opened again, and their lengths, what is left over and
+   the small lengths go best-fit into the room that remains. How empty a sequence may stay
+   is chosen from a few bounds by the number of sequences.
 
 Pieces then find their places by their number among the pieces of their length.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -37,6 +40,7 @@ END = 2  # id behind each document
 GROUPS = 128
 SMALL = 8  # lengths up to capacity / SMALL are small
 ROUNDS = 1000  # of column generation, at most
+EMPTY = (0, 1 / 128, 1)  # shares of a sequence that may stay empty before best fit, tried in turn
 CALL = 4096  # chunks of one call of the library
 SPACE = "\u0120"  # how the byte-level alphabet writes a space
 CACHE = 400_000  # chunks a worker remembers, about 200 bytes each
@@ -226,41 +230,81 @@ def grouped(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
     return out if out[0] else []
 
 
+def substituted(
+    parts: list[list[tuple[int, int]]], rows: np.ndarray, times: np.ndarray, capacity: int
+) -> tuple[list[Bins], dict[int, int]]:
+    """Sequences with actual lengths for the configurations, and the pieces left over.
+
+    A place gets the longest length left in its group. Lengths below the rounded size leave
+    room, so the last place gets the longest length of any group that fits.
+    """
+    left = {length: n for p in parts for length, n in p}
+    names = sorted(left)
+    low, high = [p[-1][0] for p in parts], [p[0][0] for p in parts]
+    done: list[Bins] = []
+
+    def longest(upto: int, least: int, held: dict[int, int]) -> int | None:
+        at = bisect_right(names, upto) - 1
+        while at >= 0 and names[at] >= least:
+            if left[names[at]] > held.get(names[at], 0):
+                return names[at]
+            at -= 1  # at most as often as there are places in a sequence
+        return None
+
+    for row, often in sorted(zip(rows.tolist(), times.tolist()), key=lambda r: (-r[1], r[0])):
+        often = int(often + 1e-9)
+        places = [g for g in range(len(parts) - 1, -1, -1) for _ in range(row[g])]
+        while often > 0:
+            # A run of sequences gets the same lengths, as long as they last.
+            held: dict[int, int] = {}
+            room = capacity
+            for g in places[:-1]:
+                length = longest(high[g], low[g], held)
+                if length is None:
+                    break
+                held[length] = held.get(length, 0) + 1
+                room -= length
+            else:
+                length = longest(room, 1, held)
+            if length is None:
+                break
+            held[length] = held.get(length, 0) + 1
+            run = min(often, *(left[k] // n for k, n in held.items()))
+            bins = Bins(run, capacity)
+            for k, n in held.items():
+                bins.put(k, n)
+                left[k] -= n * run
+                if not left[k]:
+                    names.pop(bisect_left(names, k))
+            done.append(bins)
+            often -= run
+    return done, {k: n for k, n in left.items() if n}
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[Bins]:
     """Bins that hold exactly `counts[length]` pieces of every length."""
-    left = {k: n for k, n in counts.items() if n}
-    large = {k: n for k, n in left.items() if k > capacity // SMALL}
-    done: list[Bins] = []
-    parts = grouped(large, groups)[::-1]  # smallest sizes first
-    if parts:
-        sizes = np.array([p[0][0] for p in parts])
-        need = np.array([sum(n for _, n in p) for p in parts])
-        rows, times = configurations(sizes, need, capacity)
-        stock = [list(p) for p in parts]
-        for row, often in sorted(zip(rows.tolist(), times.tolist()), key=lambda r: (-r[1], r[0])):
-            have = [sum(n for _, n in s) for s in stock]
-            often = min([int(often + 1e-9), *(h // k for h, k in zip(have, row) if k)])
-            while often > 0:
-                # A run of sequences gets the longest lengths left, as long as they last.
-                run = often
-                for s, k in zip(stock, row):
-                    if k:
-                        run = min(run, max(s[0][1] // k, 1))
-                bins = Bins(run, capacity)
-                for s, k in zip(stock[::-1], row[::-1]):
-                    while k:
-                        take = min(k, max(s[0][1] // run, 1))
-                        bins.put(s[0][0], take)
-                        s[0] = (s[0][0], s[0][1] - take * run)
-                        k -= take
-                        if not s[0][1]:
-                            s.pop(0)
-                done.append(bins)
-                often -= run
-        left = {k: n for k, n in left.items() if k not in large}
-        for s in stock:
-            left.update({length: n for length, n in s if n})
-    # Best fit, longest first: the tightest room that takes a piece, else a new sequence.
+    counts = {k: n for k, n in counts.items() if n}
+    parts = grouped({k: n for k, n in counts.items() if k > capacity // SMALL}, groups)[::-1]
+    small = {k: n for k, n in counts.items() if k <= capacity // SMALL}
+    if not parts:
+        return best_fit([], small, capacity)
+    sizes = np.array([p[0][0] for p in parts])  # smallest sizes first
+    need = np.array([sum(n for _, n in p) for p in parts])
+    rows, times = configurations(sizes, need, capacity)
+    plans = []
+    for share in EMPTY:
+        done, left = substituted(parts, rows, times, capacity)
+        left |= small
+        for b in done:
+            if b.room > share * capacity:
+                for length, n in b.items:
+                    left[length] = left.get(length, 0) + n * b.count
+        plans.append(best_fit([b for b in done if b.room <= share * capacity], left, capacity))
+    return min(plans, key=lambda bins: sum(b.count for b in bins))
+
+
+def best_fit(done: list[Bins], left: dict[int, int], capacity: int) -> list[Bins]:
+    """Put pieces into sequences, longest first: the tightest room that takes it, else a new one."""
     rooms = sorted({b.room for b in done})
     by_room: dict[int, list[Bins]] = {}
     for b in done:
