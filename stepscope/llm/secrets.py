@@ -12,6 +12,8 @@ import base64
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,128 +45,144 @@ PADDING = re.compile(r"={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 MAGIC = b"openssh-key-v1\0"
+MOST_FIELDS = 64  # in one level of a key; known formats have fewer than twelve
 
 
-def fields(data: bytes) -> list[tuple[int, bytes]] | None:
-    """Tags and contents of DER values that fill `data` to the last byte, else None."""
-    found, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+Read = Callable[[int, int], bytes]  # bytes of a candidate from one place to another
+
+
+def fields(read: Read, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """Tags, begins and ends of the DER values that fill a stretch to the last byte, else None."""
+    found = []
+    while at < end:
+        head = read(at, min(at + 6, end))
+        if len(head) < 2 or len(found) == MOST_FIELDS:
             return None
-        tag, size, at = data[at], data[at + 1], at + 2
+        tag, size, at = head[0], head[1], at + 2
         if size > 127:
             more = size - 128
-            if not 1 <= more <= 4 or at + more > len(data):
+            if not 1 <= more <= 4 or len(head) < 2 + more:
                 return None
-            size, at = int.from_bytes(data[at : at + more]), at + more
-        if at + size > len(data):
+            size, at = int.from_bytes(head[2 : 2 + more]), at + more
+        if at + size > end:
             return None
-        found.append((tag, data[at : at + size]))
+        found.append((tag, at, at + size))
         at += size
     return found
 
 
-def private_key(data: bytes) -> bool:
-    """Whether the bytes are one private key: PKCS#1, PKCS#8, SEC1 or DSA in DER, or OpenSSH."""
-    if data.startswith(MAGIC):
-        return openssh(data[len(MAGIC) :])
-    top = fields(data)
+def private_key(read: Read, size: int) -> bool:
+    """Whether the bytes are one private key: PKCS#1, PKCS#8, SEC1 or DSA in DER, or OpenSSH.
+
+    Reads tags and sizes only, never the whole.
+    """
+    if read(0, min(size, len(MAGIC))) == MAGIC:
+        return openssh_size(read, size) == size
+    top = fields(read, 0, size)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
-    inner = fields(top[0][1])
-    if not inner or len(inner) < 2 or inner[0][0] != 2 or inner[0][1] not in (b"\0", b"\1"):
+    inner = fields(read, *top[0][1:])
+    if not inner or len(inner) < 2 or inner[0][0] != 2 or read(inner[0][1], min(inner[0][1] + 2, inner[0][2])) not in (b"\0", b"\1"):
         return False
-    tags = [t for t, _ in inner]
+    tags = [t for t, _, _ in inner]
     if tags[1] == 0x30 and len(tags) > 2 and tags[2] == 4:  # PKCS#8: algorithm, then the key
-        algorithm = fields(inner[1][1])
+        algorithm = fields(read, *inner[1][1:])
         return bool(algorithm) and algorithm[0][0] == 6
     if tags[1] == 4:  # SEC1
-        return len(inner[1][1]) >= 16
+        return inner[1][2] - inner[1][1] >= 16
     return len(tags) >= 5 and all(t in (2, 0x30) for t in tags)  # RSA or DSA numbers
 
 
-def openssh(data: bytes) -> bool:
-    """Whether the fields after the magic word fit: three texts, a count, public keys, private part."""
-    at = 0
+def openssh_size(read: Read, most: int) -> int | None:
+    """Bytes of an OpenSSH key by the sizes of its fields, None if they do not fit into `most`.
 
-    def text() -> bytes | None:
-        nonlocal at
-        if at + 4 > len(data):
-            return None
-        size = int.from_bytes(data[at : at + 4])
-        at += 4 + size
-        return data[at - size : at] if at <= len(data) else None
-
-    if text() is None or text() is None or text() is None or at + 4 > len(data):
-        return False
-    keys = int.from_bytes(data[at : at + 4])
-    at += 4
-    if not 1 <= keys <= 64 or any(text() is None for _ in range(keys)):
-        return False
-    return text() is not None and at == len(data)
-
-
-class Lines:
-    """Base64 lines from a place in a text, read only as far as they are asked for."""
-
-    def __init__(self, text: str, at: int):
-        self.text, self.at, self.end = text, at, at
-        self.most = len(text) - at
-        self.lines: list[str] = []
-        self.chars = 0
-
-    def first(self, n: int) -> bytes | None:
-        """The first `n` bytes that the lines hold, None if they hold less."""
-        need = -(-n * 8 // 6)
-        if need > self.most:
-            return None
-        while self.chars < need:
-            line = LINE.match(self.text, self.at)
-            if not line:
-                return None
-            self.lines.append(line[0])
-            self.chars, self.end = self.chars + len(line[0]), line.end()
-            gap = BREAK.match(self.text, self.end)
-            self.at = gap.end() if gap else self.end
-        chunk = "".join(self.lines)[:need]
-        return base64.b64decode(chunk + "=" * (-need % 4))
-
-
-def claimed(lines: Lines) -> int | None:
-    """How many bytes a key has by its own account, from the sizes at its head."""
-    head = lines.first(6)
-    if head[0] == 0x30:
-        more = head[1] - 128
-        if more < 0:
-            return 2 + head[1]
-        return 2 + more + int.from_bytes(head[2 : 2 + more]) if 1 <= more <= 4 else None
-    at = len(MAGIC)
-    keys = 1
-    for place in range(3 + 1 + 64 + 1):  # three texts, a count, public keys, private part
-        if place > 4 + keys:
-            break
-        data = lines.first(at + 4)
-        if data is None:
+    Behind the magic word: three texts, a count, so many public keys, the private part.
+    """
+    at, keys = len(MAGIC), 1
+    place = 0
+    while place <= 4 + keys:
+        if at + 4 > most:
             return None
-        size, at = int.from_bytes(data[at:]), at + 4
+        size, at = int.from_bytes(read(at, at + 4)), at + 4
         if place == 3:
             keys = size
+            if not 1 <= keys <= MOST_FIELDS:
+                return None
         else:
             at += size
-    return at
+        place += 1
+    return at if at <= most else None
 
 
-def key_end(text: str, start: int) -> int | None:
-    """Where the private key ends whose first line starts here, None if there is none.
+class Lines:
+    """Base64 lines that follow each other in a text, with the count of characters before each.
 
-    A key fills whole lines, so its size leaves one reading only.
+    They are looked up, not joined: bytes are decoded from the few characters that hold them.
     """
-    lines = Lines(text, start)
-    size = claimed(lines)
-    data = lines.first(size) if size else None
-    if data is None or lines.chars != -(-size * 8 // 6) or not private_key(data):
-        return None
-    return lines.end + min(len(PADDING.match(text, lines.end)[0]), -lines.chars % 4)
+
+    def __init__(self, text: str, at: int):
+        self.text = text
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.before = [0]
+        line = LINE.match(text, at)
+        while line:
+            self.starts.append(line.start())
+            self.ends.append(line.end())
+            self.before.append(self.before[-1] + line.end() - line.start())
+            gap = BREAK.match(text, line.end())
+            line = LINE.match(text, gap.end()) if gap else None
+        self.end = self.ends[-1]
+
+    def reader(self, first: int) -> tuple[Read, int]:
+        """Bytes from the line on, and how many there are."""
+        zero = self.before[first]
+        chars = self.before[-1] - zero
+
+        def read(a: int, z: int) -> bytes:
+            if a >= z:
+                return b""
+            begin, end = zero + a // 3 * 4, zero + -(-z * 8 // 6)
+            at = bisect_right(self.before, begin) - 1
+            parts = []
+            while begin < end:
+                stop = min(end, self.before[at + 1])
+                shift = self.starts[at] - self.before[at]
+                parts.append(self.text[begin + shift : stop + shift])
+                begin, at = stop, at + 1
+            chunk = "".join(parts)
+            return base64.b64decode(chunk + "=" * (-len(chunk) % 4))[a % 3 : a % 3 + z - a]
+
+        return read, chars * 6 // 8
+
+    def key_end(self, first: int) -> int | None:
+        """Where the private key ends that starts with this line, None if there is none.
+
+        A key fills whole lines, and its own sizes say how many bytes it has, so its end
+        has to be the end of a line.
+        """
+        read, most = self.reader(first)
+        head = read(0, min(6, most))
+        if len(head) < 6:
+            return None
+        if head[0] == 0x30:
+            more = head[1] - 128
+            if more < 0:
+                size = 2 + head[1]
+            elif 1 <= more <= 4:
+                size = 2 + more + int.from_bytes(head[2 : 2 + more])
+            else:
+                return None
+        else:
+            size = openssh_size(read, most)
+        if size is None or size > most:
+            return None
+        chars = -(-size * 8 // 6)
+        last = bisect_left(self.before, self.before[first] + chars)
+        if self.before[last] != self.before[first] + chars or not private_key(read, size):
+            return None
+        end = self.ends[last - 1]
+        return end + min(len(PADDING.match(self.text, end)[0]), -chars % 4)
 
 
 def json_part(chunk: str) -> object:
@@ -176,14 +194,23 @@ def json_part(chunk: str) -> object:
 
 def keys_in(text: str) -> list[tuple[int, int]]:
     spans = []
+    lines = None
     for m in FIRST.finditer(text):  # goes on at the next line, whatever this one was
         if not spans or m.start() >= spans[-1][1]:
-            end = key_end(text, m.start())
+            if lines is None or m.start() >= lines.end:
+                lines = Lines(text, m.start())
+            first = bisect_left(lines.starts, m.start())
+            if lines.starts[first : first + 1] != [m.start()]:  # behind a written-out break
+                lines = Lines(text, m.start())
+                first = 0
+            end = lines.key_end(first)
             if end is not None:
                 spans.append((m.start(), end))
     for m in HEX_KEY.finditer(text):
-        if len(m.group()) % 2 == 0 and private_key(bytes.fromhex(m.group())):
-            spans.append(m.span())
+        if len(m.group()) % 2 == 0:
+            data = bytes.fromhex(m.group())
+            if private_key(lambda a, z: data[a:z], len(data)):
+                spans.append(m.span())
     return spans
 
 
@@ -274,7 +301,11 @@ def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
-    """All documents, secrets replaced by a mark; n_chars follows where the text changed."""
+    """All documents, secrets replaced by a mark; n_chars, if there, follows where the text changed.
+
+    Null and empty texts stay. Rows are independent: repeated rows change alike, long texts
+    are read whole, an empty table gives an empty one.
+    """
 
     def work():
         def of(texts):
@@ -286,6 +317,8 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
     new = [T.StructField("_clean", T.StringType()), T.StructField("_hit", T.BooleanType())]
     own, names = aside(docs)
     made = map_texts(own, work, new, [n for c, n in names.items() if c != "text"], names["text"], raw=True)
-    count = F.when(F.col("_hit"), F.char_length("_clean").cast("long")).otherwise(F.col(names["n_chars"]))
-    changed = {"text": F.col("_clean"), "n_chars": count}
+    changed = {"text": F.col("_clean")}
+    if "n_chars" in names:
+        count = F.char_length("_clean").cast("long")
+        changed["n_chars"] = F.when(F.col("_hit"), count).otherwise(F.col(names["n_chars"]))
     return made.select(*[changed.get(c, F.col(n)).alias(c) for c, n in names.items()])
