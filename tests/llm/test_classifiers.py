@@ -136,6 +136,17 @@ def test_pooling_equals_brute_force():
         np.testing.assert_allclose(found, np.concatenate(want), atol=1e-5)
 
 
+def test_pieces_of_long_texts_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(30, toxicity.FILTERS * sum(toxicity.SPANS))).astype(np.float32)
+    rows[0] = 0
+    texts = [rng.integers(1, 30, n) for n in (*range(40), 140, 141, 142)]
+    whole = toxicity.pooled(rows, texts)
+    for chunk in (1, 2, 3, 7, 20):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        np.testing.assert_allclose(toxicity.pooled(rows, texts), whole, atol=1e-5)
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     rows = catalog.QUERIES["op3_toxicity"](spark, sf)

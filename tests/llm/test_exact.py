@@ -8,7 +8,10 @@ import json
 import math
 import random
 import re
+import time
 import zlib
+from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -89,6 +92,33 @@ def test_plan_holds_every_piece(counts):
     assert sum(b.count for b in bins) <= 2 * low
 
 
+def decreasing(counts, capacity):
+    """Sequences that best-fit decreasing takes."""
+    rooms, n = [], 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            at = bisect_left(rooms, length)
+            n += at == len(rooms)
+            insort(rooms, (rooms.pop(at) if at < len(rooms) else capacity) - length)
+    return n
+
+
+@pytest.mark.parametrize("kind", ["documents", "few", "spread", "halves", "thirds"])
+def test_plan_is_no_worse_than_best_fit_decreasing(kind, documents):
+    rng = random.Random(11)
+    if kind == "documents":
+        encoder = packing.encoder_of(packing.tokenizer_path())
+        texts = [r["text"] or "" for r in documents.select("text").collect()]
+        sizes = [len(ids) // 4 + 1 for ids in encoder.encode(texts)]
+        sizes = [1024] * sum(n // 1024 for n in sizes) + [n % 1024 for n in sizes if n % 1024]
+    else:
+        low, high, n = {"few": (100, 1024, 300), "spread": (1, 1024, 3000), "halves": (450, 560, 2000), "thirds": (250, 520, 2000)}[kind]
+        sizes = [rng.randint(low, high) for _ in range(n)]
+    counts = dict(Counter(sizes))
+    made = sum(b.count for b in packing.plan(counts))
+    assert math.ceil(sum(sizes) / 1024) <= made <= decreasing(counts, 1024)
+
+
 def test_plan_is_tight_on_a_large_corpus():
     rng = np.random.default_rng(1)
     lengths = np.minimum(1024, rng.lognormal(6, 1, 200_000).astype(int) + 1)
@@ -386,6 +416,26 @@ def test_long_runs_of_base64_are_read_once():
     assert kinds("\n".join([*lines, wrapped(RSA)])) == ["key"]
 
 
+@pytest.mark.parametrize(
+    "head",
+    [b"\x30\x83\x00\xc0\x00", b"\x30\x82\x90\x00", b"\x30\x82\x8f\xfc\x02\x01\x00\x02\x82\x8f\xf0", b"\x30\x82\x8f\xfc\x02\x01\x00" + b"\x05\0" * 20,
+     b"openssh-key-v1\0" + b"\0\0\0\1a\0\0\0\1b\0\0\0\0\0\0\0\x3f"],
+)
+def test_lines_that_all_claim_long_keys_take_little_time(head):
+    """A megabyte of lines whose sizes end at the ends of later lines."""
+    rng = random.Random(4)
+    lines = [base64.b64encode((head + rng.randbytes(48))[:48]).decode() for _ in range(16_000)]
+    start = time.perf_counter()
+    assert kinds("\n".join([*lines, wrapped(RSA)])) == ["key"]
+    assert time.perf_counter() - start < 5
+
+
+def test_redaction_without_a_count_of_characters(spark):
+    frame = spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string")
+    (row,) = secrets.redacted_documents(frame).collect()
+    assert row.asDict() == {"doc_id": 1, "text": secrets.REDACTED}
+
+
 def test_base_patterns():
     assert kinds("API_KEY = 'abcdef' token:short password=12345") == ["assign"]
     assert kinds("AKIA" + "Z" * 15 + " AKIA" + "Z" * 16) == ["access"]
