@@ -18,24 +18,25 @@ from stepscope.operators.components import components
 from stepscope.session import keep
 
 PIVOT_ROUNDS = 2
+FEW = 500_000  # keys that are broadcast, at most; about 16 MB
 
 
-def representatives(vectors: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Documents with equal vectors as one: (key, vector) of the smallest, and (key, rep).
+def representatives(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, rep): the smallest of the documents with an equal vector.
 
     Equal means an equal SHA-256 of the whole vector. The smallest key is taken per task
     before the shuffle, so a text copied a million times is one row a task.
     """
-    marked = vectors.select(key, "vector", F.sha2(F.to_json("vector"), 256).alias("_same"))
+    marked = keep(vectors.select(key, F.sha2(F.to_json("vector"), 256).alias("_same")), "digests")
     first = marked.groupBy("_same").agg(F.min(key).alias("rep"))
-    marked = keep(marked.join(first, "_same").select(key, "vector", "rep"), "copies")
-    return marked.where(F.col(key) == F.col("rep")).select(key, "vector"), marked.select(key, "rep")
+    return keep(marked.join(first, "_same").select(key, "rep"), "copies")
 
 
-def leading(vectors: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
-    """(term, key): the leading terms of each vector."""
+def leading(vectors: DataFrame, members: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
+    """(term, key): the leading terms of each representative's vector."""
     lead = F.slice("vector", 1, tv.prefix_size(F.col("vector"), least - tv.SLACK))
-    return vectors.select(key, F.explode(lead).alias("_e")).select(F.col("_e.term").alias("term"), key)
+    rows = vectors.select(key, F.explode(lead).alias("_e")).select(F.col("_e.term").alias("term"), key)
+    return rows.join(members.where(F.col(key) == F.col("rep")).select(key), key)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,9 +62,15 @@ def dot(a: Column, b: Column) -> Column:
 
 def confirmed(pairs: DataFrame, vectors: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
     """(a, b, similarity) of the pairs that reach the cosine, taken exactly in the row."""
-    one = vectors.select(F.col(key).alias("a"), F.col("vector").alias("_x"))
-    two = vectors.select(F.col(key).alias("b"), F.col("vector").alias("_y"))
-    scored = pairs.select("a", "b").join(one, "a").join(two, "b").select(
+    pairs = keep(pairs.select("a", "b"), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    ends = keep(ends, "ends")
+    # Few ends are looked up where the vectors lie, so that only theirs are shuffled.
+    near = vectors.join(F.broadcast(ends) if ends.count() <= FEW else ends, key)
+    near = keep(near, "near")
+    one = near.select(F.col(key).alias("a"), F.col("vector").alias("_x"))
+    two = near.select(F.col(key).alias("b"), F.col("vector").alias("_y"))
+    scored = pairs.join(one, "a").join(two, "b").select(
         "a", "b", F.round(dot(F.col("_x"), F.col("_y")), 9).alias("similarity")
     )
     return scored.where(F.col("similarity") >= least)
@@ -79,8 +86,9 @@ def similar_pairs(
     vector are in neither. The pairs themselves may be many: n different texts that are
     all alike are n * (n - 1) / 2 pairs; `similarity_components` does without them.
     """
-    own, members = representatives(vectors, key)
-    lead = leading(own, least, key)
+    own = keep(vectors, "vectors")
+    members = representatives(own, key)
+    lead = keep(leading(own, members, least, key), "leading")
     a, b = (lead.select("term", F.col(key).alias(n)) for n in "ab")
     pairs = a.join(b, "term").where("a < b").select("a", "b").distinct()
     return confirmed(pairs, own, least, key), members
@@ -96,8 +104,9 @@ def similarity_components(vectors: DataFrame, least: float, key: str = "doc_id")
     components are candidates, found through the components of a term, so that the
     members of a large group never meet each other.
     """
-    own, members = representatives(vectors, key)
-    lead = keep(leading(own, least, key).withColumnRenamed(key, "node"), "leading")
+    own = keep(vectors, "vectors")
+    members = representatives(own, key)
+    lead = keep(leading(own, members, least, key).withColumnRenamed(key, "node"), "leading")
     links = None
     for number in range(PIVOT_ROUNDS):
         order = F.xxhash64(F.lit(number), "node")
