@@ -29,6 +29,8 @@ RADIUS, BLOCKS = 3, 4
 ROWS = 4096  # documents of a bucket, at the least
 BUCKETS = 65_536  # buckets of documents, at the most
 STEPS = 64  # quantiles of the ids that buckets are laid out by
+HOT_IDS = 1000  # ids with more than one HOT_IDS-th of the rows are split, each into
+SHARES = 64  # buckets by the hash of the text
 
 
 def terms(texts: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -150,30 +152,41 @@ def in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Buckets are ranges of the key: equal steps between the quantiles of the ids, so that
     neither gaps nor outliers fill one. The last of a bucket is followed by the first of
-    the next one, the very last by the very first. Null keys come first.
+    the next one, the very last by the very first. Null keys come first. An id that very
+    many rows share, null or not, has buckets of its own; its texts are in order of their
+    hash first, so that they spread over these. Texts must not be null.
     """
     spark = docs.sparkSession
     stats = docs.agg(
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx(key, [i / STEPS for i in range(STEPS + 1)], 10_000).alias("q"),
     ).first()
-    bounds = sorted(set(stats["q"] or [0]))
+    sizes = docs.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    often = sizes.where(F.col("n") > max(ROWS, stats["n"] // HOT_IDS)).collect()  # at most HOT_IDS
+    hot = sorted(r["id"] for r in often if r["id"] is not None)
+    bounds = sorted({*(stats["q"] or [0]), *hot, *(i + 1 for i in hot)})
     parts = max(1, min(BUCKETS, stats["n"] // ROWS) // max(len(bounds), 1) + 1)
     lows = F.array(*[F.lit(b).cast("long") for b in bounds])
     width = F.array(*[F.lit(max(1, -(-(b - a) // parts))).cast("long") for a, b in zip(bounds, [*bounds[1:], bounds[-1] + 1])])
     step = F.greatest(F.size(F.filter(lows, lambda b: b <= F.col(key))), F.lit(1))
     inside = F.least(F.lit(parts - 1), F.floor((F.col(key) - F.element_at(lows, step)) / F.element_at(width, step)))
     numbered = step.cast("long") * parts + F.greatest(inside, F.lit(0))
-    bucket = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(numbered)
-
-    # Which bucket follows which: ids only, at most BUCKETS + STEPS rows.
-    begins = docs.select(key).groupBy(bucket.alias("bucket")).agg(F.min(key).alias("first")).collect()
+    numbered = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(numbered)
+    unnamed = F.lit(any(r["id"] is None for r in often))
+    shared = F.when(F.col(key).isNull(), unnamed).otherwise(F.col(key).isin(hot))
+    tie = F.when(shared, F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    share = F.when(shared, F.shiftright("tie", 64 - SHARES.bit_length() + 1) + SHARES // 2).otherwise(0)
+    docs = docs.withColumn("tie", tie)
+    bucket = numbered * SHARES + share
+
+    # Which bucket follows which: ids only, at most BUCKETS + STEPS + HOT_IDS * (SHARES + 2) rows.
+    begins = docs.select(key, "tie").groupBy(bucket.alias("bucket")).agg(F.min(key).alias("first")).collect()
     begins = sorted((r["bucket"], r["first"]) for r in begins)
     pairs = [(b, last[0]) for last, (b, _) in zip([begins[-1], *begins[:-1]], begins)] if begins else []
     after = F.broadcast(spark.createDataFrame(pairs, "b long, previous long"))
     heads = F.broadcast(spark.createDataFrame(begins, "b long, least long"))
 
-    order = Window.partitionBy("bucket").orderBy(key, "text")
+    order = Window.partitionBy("bucket").orderBy(key, "tie", "text")
     rows = docs.withColumn("bucket", bucket).withColumns(
         {"place": F.row_number().over(order), "next": F.lead("text").over(order), "inner": F.lead(F.lit(True)).over(order)}
     )
@@ -182,14 +195,14 @@ def in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         .join(heads, "b")
         .where(F.col(key).eqNullSafe(F.col("least")))
         .groupBy("b")
-        .agg(F.min(F.coalesce("text", F.lit(""))).alias("first_text"))
+        .agg(F.min(F.struct("tie", F.coalesce("text", F.lit("")))).alias("first"))
         .join(after, "b")
-        .select("previous", "first_text")
+        .select("previous", F.col("first.col2").alias("first_text"))
     )
     joined = rows.join(firsts, (rows["bucket"] == firsts["previous"]) & F.col("inner").isNull(), "left")
     return joined.withColumn(
         "next", F.coalesce(F.when(F.col("inner"), F.coalesce("next", F.lit(""))).otherwise(F.col("first_text")), F.lit(""))
-    ).drop("inner", "previous", "first_text")
+    ).drop("inner", "previous", "first_text", "tie")
 
 
 def followed(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -302,6 +302,24 @@ def test_edited_texts_and_neighbours(spark, folder, documents, odd, none, clashi
     assert catalog.QUERIES["op9_fingerprints"](spark, folder(none)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [77, None])
+def test_an_id_of_a_third_of_all_rows_is_spread(spark, hot):
+    rng = random.Random(5)
+    rows = [(i, f"text {i} {rng.random()}") for i in range(20_000)]
+    rows += [(hot, f"hot {rng.randrange(9000)}") for _ in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = fingerprints.in_order(docs).collect()
+    sizes = Counter(r["bucket"] for r in made)
+    assert len(made) == 30_000 and max(sizes.values()) < 1500
+    of_hot = [r for r in made if r["text"].startswith("hot")]
+    assert len({r["bucket"] for r in of_hot}) >= 60
+    # One round through all rows: each row's next text is the text of the row behind it.
+    made.sort(key=lambda r: (r["bucket"], r["place"]))
+    assert all(a["next"] == b["text"] for a, b in zip(made, [*made[1:], made[0]]))
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in made]
+    assert ids == sorted(ids)
+
+
 def test_votes_equal_brute_force(spark):
     from pyspark.sql import functions as F
 
