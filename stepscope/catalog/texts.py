@@ -174,8 +174,7 @@ _BARS_SQL = "CASE category " + " ".join(
 def d6(spark, sf):
     counted = keep(vectors.counted_docs(src.texts(spark, sf)), "counted")
     idf = keep(vectors.idf_of(counted), "idf")
-    own = vectors.weighted(counted, idf)
-    found = vectors.nearest_by_vector(own, _patterns(spark, sf), idf)
+    found = vectors.nearest_of_counted(counted, _patterns(spark, sf), idf)
     return found.select(
         "doc_id", "pattern_no", F.round("similarity", 6).alias("similarity"),
         F.col("match.category").alias("category"),

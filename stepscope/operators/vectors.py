@@ -107,13 +107,13 @@ def idf_of(counted: DataFrame) -> DataFrame:
     return freq.withColumn("idf", F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
-def weighted(counted: DataFrame, idf: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
-    """(key, vector) of counted documents by idf(term, df, idf); unknown terms are dropped.
+def known_terms(counted: DataFrame, idf: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
+    """(key, term, df, raw): terms of counted documents with n / doc_len * idf.
 
-    The idf of the COMMON_TERMS commonest terms, which most postings have, is broadcast:
-    no task gets all postings of one such term. Only the rest, if there is one, is joined
-    by a shuffle on term, and what is left comes together by document. A document without
-    a known term has no row. Both tables are read twice and should lie in files.
+    Terms that idf(term, df, idf) does not know are dropped. The idf of the COMMON_TERMS
+    commonest terms, which most postings have, is broadcast: no task gets all postings of
+    one such term. Only the rest, if there is one, is joined by a shuffle on term. Both
+    tables are read twice and should lie in files.
     """
     own = counted.select(*key, "doc_len", F.explode("terms").alias("t")).select(
         *key, F.col("t.term").alias("term"), (F.col("t.n") / F.col("doc_len")).alias("_tf")
@@ -126,8 +126,13 @@ def weighted(counted: DataFrame, idf: DataFrame, key: list[str] = ("doc_id",)) -
         tried = own.join(F.broadcast(common), "term", "left")
         rest = tried.where("idf IS NULL").drop("df", "idf").join(known, "term")
         found = tried.where("idf IS NOT NULL").unionByName(rest)
-    entry = F.struct("df", "term", (F.col("_tf") * F.col("idf")).alias("weight"))
-    rows = found.select(*key, entry.alias("_e")).groupBy(*key).agg(
+    return found.select(*key, "term", "df", (F.col("_tf") * F.col("idf")).alias("raw"))
+
+
+def weighted(counted: DataFrame, idf: DataFrame, key: list[str] = ("doc_id",)) -> DataFrame:
+    """(key, vector) of counted documents; one without a known term has no row."""
+    entry = F.struct("df", "term", F.col("raw").alias("weight"))
+    rows = known_terms(counted, idf, key).select(*key, entry.alias("_e")).groupBy(*key).agg(
         F.sort_array(F.collect_list("_e")).alias("_v")  # one document's distinct terms
     )
     return rows.select(*key, unit(F.col("_v")).alias("vector"))
@@ -276,14 +281,13 @@ def nearest_pattern(
     thresholds: dict[str, float] | None = None,
     default_threshold: float = 0.82,
 ) -> DataFrame:
-    """`nearest_by_vector` of texts."""
-    idf = keep(idf, "idf")
-    own = weighted(keep(counted_docs(docs, key, text), "counted"), idf, key)
-    return nearest_by_vector(own, patterns, idf, key, thresholds, default_threshold)
+    """`nearest_of_counted` for texts."""
+    counted = keep(counted_docs(docs, key, text), "counted")
+    return nearest_of_counted(counted, patterns, keep(idf, "idf"), key, thresholds, default_threshold)
 
 
-def nearest_by_vector(
-    own: DataFrame,
+def nearest_of_counted(
+    counted: DataFrame,
     patterns: DataFrame,
     idf: DataFrame,
     key: list[str] = ("doc_id",),
@@ -292,14 +296,17 @@ def nearest_by_vector(
 ) -> DataFrame:
     """Pattern match per document where the category's threshold is reached.
 
-    own(key, vector); patterns(pattern_no, pattern_id, category, trigger_description,
-    safe_alternative, confidence). The most similar pattern decides, the earliest on ties.
+    counted(key, doc_len, terms) as `counted_docs` gives it; patterns(pattern_no,
+    pattern_id, category, trigger_description, safe_alternative, confidence). The most
+    similar pattern decides, the earliest on ties.
 
     A pattern's terms that cannot bring it to the lowest threshold by themselves make no
     candidates: a document has to share one of the others. The postings of a small library
-    are broadcast, and sums stay where the documents are. For a larger one the documents
-    that share a leading term are found first, and only theirs are joined by term.
+    are broadcast, and a document's sums are taken before the shuffle, so that it hands on
+    one number a pattern. For a larger library the documents that share a leading term are
+    found first, and only theirs are joined by term.
     """
+    key = list(key)
     bars = {**tx.CATEGORY_THRESHOLDS, **(thresholds or {})}
     least = max(0.0, min([*bars.values(), default_threshold]))
     asked = keep(counted_docs(patterns, ["pattern_no"], "trigger_description"), "asked")
@@ -308,27 +315,38 @@ def nearest_by_vector(
         "pattern_no", F.posexplode("vector").alias("_at", "_e"),
         prefix_size(F.col("vector"), least - SLACK).alias("_k"),
     ).select(
-        "pattern_no", F.col("_e.term").alias("term"), F.col("_e.weight").alias("_w"),
-        (F.col("_at") < F.col("_k")).alias("_leads"),
+        F.col("_e.term").alias("term"),
+        F.struct("pattern_no", F.col("_e.weight").alias("weight"), (F.col("_at") < F.col("_k")).alias("leads")).alias("hit"),
     )
-    asks = keep(asks, "patterns")
-    if asks.count() <= SMALL_LIBRARY:
+    asks = keep(asks.groupBy("term").agg(F.collect_list("hit").alias("hits")), "patterns")
+    if (asks.agg(F.sum(F.size("hits"))).first()[0] or 0) <= SMALL_LIBRARY:
         asks = F.broadcast(asks)
     else:
-        own = keep(own, "vectors")
-        terms = asks.where("_leads").select("term").distinct()
-        near = own.select(*key, F.explode("vector.term").alias("term")).join(terms, "term")
-        own = own.join(near.select(*key).distinct(), list(key), "left_semi")
+        leads = asks.where(F.exists("hits", lambda h: h["leads"])).select("term")
+        near = counted.select(*key, F.explode("terms.term").alias("term")).join(leads, "term")
+        counted = keep(counted.join(near.select(*key).distinct(), key, "left_semi"), "near")
+    # Number -1 stands for the document itself: its sum is its squared length.
+    own = F.struct(F.lit(-1).alias("pattern_no"), F.col("raw").alias("weight"), F.lit(False).alias("leads"))
+    parts = F.concat(F.array(own), F.coalesce("hits", F.array().cast("array<struct<pattern_no:int,weight:double,leads:boolean>>")))
     sums = (
-        postings(own, key)
-        .join(asks, "term")
-        .groupBy(*key, "pattern_no")
-        .agg(F.sum(F.col("weight") * F.col("_w")).alias("_dot"), F.bool_or("_leads").alias("_leads"))
-        .where("_leads")
+        known_terms(counted, idf, key)
+        .join(asks, "term", "left")
+        .select(*key, "raw", F.explode(parts).alias("p"))
+        .groupBy(*key, F.col("p.pattern_no").alias("pattern_no"))
+        .agg(F.sum(F.col("raw") * F.col("p.weight")).alias("dot"), F.bool_or("p.leads").alias("leads"))
+    )
+    listed = sums.groupBy(*key).agg(
+        F.max(F.when(F.col("pattern_no") == -1, F.sqrt("dot"))).alias("_len"),
+        F.collect_list(F.when(F.col("pattern_no") >= 0, F.struct("pattern_no", "dot"))).alias("dots"),  # one a pattern
+        F.bool_or("leads").alias("_near"),
+    )
+    ranked = F.transform(
+        "dots",
+        lambda d: F.struct(
+            F.round(d["dot"] / F.col("_len"), 12).alias("similarity"), (-d["pattern_no"]).alias("rank")
+        ),
     )
-    similarity = F.round("_dot", 12)
-    order = F.struct(similarity.alias("similarity"), (-F.col("pattern_no")).alias("rank"))
-    best = sums.groupBy(*key).agg(F.max(order).alias("_best")).select(
+    best = listed.where("_near").withColumn("_best", F.array_max(ranked)).select(
         *key,
         (-F.col("_best.rank")).alias("pattern_no"),
         F.col("_best.similarity").alias("similarity"),
