@@ -16,7 +16,7 @@ from stepscope.config import Settings
 from stepscope.functions import text as tt
 from stepscope.operators import detectors, judging
 from stepscope.plans import drift, evaluate, reflection, rootcause, summary, tracking
-from stepscope.session import checkpoint_folder
+from stepscope.session import checkpoint_folder, keep
 from stepscope.streaming import guard, windows
 
 KEYS = ["action_name"]
@@ -567,7 +567,8 @@ def f14(spark, sf):
 @query(
     "g13_judge_payload",
     with_(src.STEPS_SQL) + f""", sized AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM steps)
-    SELECT run_id, step_index, action_name, args_key AS action_args, tool_response, n AS total_steps FROM sized
+    SELECT run_id, step_index, action_name,
+       '{{"k":"' || json_extract_string(args_key, '$.k') || '"}}' AS action_args, tool_response, n AS total_steps FROM sized
     WHERE n <= 6 OR step_index < 3 OR step_index >= n - 3 OR {contains_sql('lower(tool_response)', tx.SIGNAL_WORDS)}""",
 )
 def g13(spark, sf):
@@ -601,6 +602,51 @@ def g15(spark, sf):
     return judging.one_judgment(judging.valid_answers(judging.judge_batch(payloads, _score)))
 
 
+@query(
+    "g13_long_arguments",
+    """WITH cut AS (SELECT doc_id, lang, text, n_chars, length(text) AS n FROM documents)
+    SELECT doc_id AS run_id, CASE WHEN n <= 150 THEN text
+         ELSE substring(text, 1, 150) || '...[TRUNCATED, ' || n || ' chars total]' END AS first_argument,
+       lang AS second_argument, n_chars::VARCHAR AS third_argument FROM cut""",
+)
+def g13_arguments(spark, sf):
+    """Documents as arguments of one step each: every name stays, each value is cut by itself."""
+    steps = src.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("run_id"), F.lit(0).alias("step_index"), F.lit("").alias("reasoning"),
+        F.lit("look").alias("action_name"), F.lit("ok").alias("tool_response"),
+        F.to_json(F.struct(F.col("text").alias("first"), F.col("lang").alias("second"), F.col("n_chars").alias("third"))).alias("args_key"),
+    )
+    found = F.from_json("action_args", "map<string,string>")
+    return judging.payload_steps(steps).select(
+        "run_id", *[found[n].alias(f"{n}_argument") for n in ("first", "second", "third")]
+    )
+
+
+def _score_some(payload: str) -> dict | None:
+    """Like `_score`, but some payloads never get a category."""
+    n = len(json.loads(payload)["steps"])
+    return _score(payload) if n % 4 else {"root_cause_step_index": n}
+
+
+@query(
+    "g15_resumed_batch",
+    with_(src.STEPS_SQL) + f""", sized AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM steps),
+    chosen AS (SELECT run_id, step_index // 1024 AS part, count(*) AS k FROM sized
+      WHERE n <= 6 OR step_index < 3 OR step_index >= n - 3 OR {contains_sql('lower(tool_response)', tx.SIGNAL_WORDS)}
+      GROUP BY ALL)
+    SELECT run_id::VARCHAR AS run_id, part::BIGINT AS part, (CASE WHEN k % 4 = 0 THEN 3 ELSE 1 END)::INT AS tries,
+       k % 4 <> 0 AS valid, CASE WHEN k % 4 <> 0 THEN ({tx.TAGS})[k % {len(tx.TAGS)} + 1] END AS category FROM chosen""",
+)
+def g15_resumed(spark, sf):
+    """Answers for half of the runs stand in the folder already when the job starts again."""
+    payloads = keep(judging.judge_payloads(src.stored_steps(spark, sf)), "payloads")
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    judging.resumable_batch(payloads.where("run_id % 2 = 0"), _score_some, folder, attempts=1)
+    states = judging.resumable_batch(payloads, _score_some, folder)
+    category = F.get_json_object("answer", "$.root_cause_error_type")
+    return states.select("run_id", "part", "tries", "valid", category.alias("category"))
+
+
 # ---- live windows ----
 
 @query(

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,23 @@ def shortened(col: Column, limit: int) -> Column:
         .otherwise(col)
 
 
+def trimmed_args(args: Column, cut: Callable[[Column], Column]) -> Column:
+    """Argument JSON with each value cut on its own as text, every name kept.
+
+    A null value is the text None. Text that is no JSON object is one argument, `args`.
+    """
+    parsed = F.from_json(args, "map<string,string>")
+
+    def each(found: Column) -> Column:
+        values = F.transform_values(
+            found, lambda _, v: F.when(v.isNull(), F.lit("None")).otherwise(cut(v))
+        )
+        whole = F.create_map(F.lit("args"), cut(F.coalesce(args, F.lit(""))))
+        return F.to_json(F.when(found.isNotNull(), values).otherwise(whole))
+
+    return tt.let(parsed, each)
+
+
 def payload_steps(
     steps: DataFrame, full: bool = False, edge: int = 3, fixed_limits: bool = False,
     block: int = ordered.BLOCK,
@@ -40,7 +57,7 @@ def payload_steps(
     """The steps a judge sees, trimmed.
 
     Runs of up to six steps are kept whole; of longer ones the first and last three
-    and every step with a signal word.
+    and every step with a signal word. Arguments are JSON text, each value cut on its own.
     """
     sizes = steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
     longs = ordered.long_runs(steps, "run_id", "step_index", block)
@@ -61,12 +78,15 @@ def payload_steps(
             return F.coalesce(name, F.lit(""))
         return shortened(F.col(name), fixed) if fixed_limits else trimmed(F.col(name), limit)
 
+    def cut_value(value: Column) -> Column:
+        return value if full else shortened(value, 500) if fixed_limits else trimmed(value, 150)
+
     return sized.where(keep).select(
         "run_id",
         "step_index",
         cut_text("reasoning", 500, 800).alias("reasoning"),
         F.coalesce(F.nullif("action_name", F.lit("")), F.lit("none")).alias("action_name"),
-        cut_text("args_key", 150, 500).alias("action_args"),
+        trimmed_args(F.col("args_key"), cut_value).alias("action_args"),
         cut_text("tool_response", 500, 800).alias("tool_response"),
         F.col("_n").alias("total_steps"),
     )
@@ -111,11 +131,12 @@ def judge_batch(
 
     The number of partitions is the number of requests in flight. A call that fails is
     made `attempts` times at most and then gives a row with `error`; it never ends the
-    job. `one_judgment` brings the parts of a run together.
+    job. `one_judgment` brings the parts of a run together. A column `attempt` is handed on.
     """
     part = F.col("part") if "part" in payloads.columns else F.lit(0)
+    kept = [c for c in ["attempt"] if c in payloads.columns]
     rows = payloads.select(
-        F.col("run_id").cast("string").alias("run_id"), part.cast("long").alias("part"), "payload"
+        F.col("run_id").cast("string").alias("run_id"), part.cast("long").alias("part"), "payload", *kept
     )
     if requests:
         rows = rows.repartition(requests)
@@ -138,9 +159,79 @@ def judge_batch(
                 errors.append(error)
             yield pd.DataFrame(
                 {"run_id": batch["run_id"], "part": batch["part"], "answer": answers, "error": errors}
+                | {c: batch[c] for c in kept}
             )
 
-    return rows.mapInPandas(call, _ANSWER)
+    return rows.mapInPandas(call, _ANSWER + "".join(f", {c} int" for c in kept))
+
+
+def no_category(answer: Column) -> Column:
+    """Whether an answer lacks the category of a judgment."""
+    return F.get_json_object(answer, "$.root_cause_error_type").isNull()
+
+
+def stored_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers kept in a folder: run_id, part, attempt, answer, error; one an attempt.
+
+    A task that was started twice may have left an answer twice; the smaller one counts.
+    """
+    schema = f"{_ANSWER}, attempt int"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(folder)
+    return rows.groupBy("run_id", "part", "attempt").agg(
+        F.min(F.struct("answer", "error")).alias("a")
+    ).select("run_id", "part", "attempt", "a.answer", "a.error")
+
+
+def answer_states(answers: DataFrame, invalid: Callable[[Column], Column] = no_category) -> DataFrame:
+    """The last answer of each payload, how often it was asked, and whether the answer is valid."""
+    last = F.max_by(F.struct("answer", "error"), "attempt").alias("a")
+    rows = answers.groupBy("run_id", "part").agg(last, F.max("attempt").alias("tries"))
+    answer = F.col("a.answer")
+    return rows.select(
+        "run_id", "part", "tries", "a.answer", "a.error",
+        (answer.isNotNull() & ~invalid(answer)).alias("valid"),
+    )
+
+
+def resumable_batch(
+    payloads: DataFrame,
+    scorer: Callable[[str], dict | None],
+    folder: str,
+    attempts: int = 3,
+    invalid: Callable[[Column], Column] = no_category,
+    tasks: int | None = None,
+) -> DataFrame:
+    """Ask about each payload until it has a valid answer, `attempts` times at most.
+
+    Answers are appended to `folder`, which all executors share, and a task's answers stand
+    there as soon as it ends. Started again after it was killed, the job asks only about
+    payloads without a valid answer and with attempts left, so what ended is not asked
+    twice; at most the payloads of the tasks that were running are. `tasks` sets how finely
+    a round is cut. Returns `answer_states` of the payloads. Payloads need distinct
+    (run_id, part); a folder belongs to one set of payloads.
+    """
+    spark = payloads.sparkSession
+    part = F.col("part") if "part" in payloads.columns else F.lit(0)
+    rows = payloads.select(
+        F.col("run_id").cast("string").alias("run_id"), part.cast("long").alias("part"), "payload"
+    )
+    key = ["run_id", "part"]
+    for _ in range(attempts):
+        known = answer_states(stored_answers(spark, folder), invalid)
+        done = known.where(F.col("valid") | (F.col("tries") >= attempts)).select(*key)
+        tries = known.select(*key, F.col("tries").cast("int").alias("attempt"))
+        pending = rows.join(done, key, "left_anti").join(tries, key, "left").withColumn(
+            "attempt", F.coalesce("attempt", F.lit(0)) + 1
+        )
+        # Nothing is shuffled after an answer, and version 2 of the committer puts a task's
+        # file into the folder when the task ends.
+        judge_batch(pending, scorer, tasks).write.mode("append").option(
+            "mapreduce.fileoutputcommitter.algorithm.version", "2"
+        ).parquet(folder)
+    return answer_states(stored_answers(spark, folder), invalid).join(rows.select(*key), key, "left_semi")
 
 
 def valid_answers(answers: DataFrame) -> DataFrame:
