@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stepscope import taxonomy as tx
 from stepscope.catalog import inputs as src
-from stepscope.catalog.registry import query, with_
+from stepscope.catalog.registry import SQL, query, with_
 from stepscope.functions import text as tt
 from stepscope.operators import deltas, edits, ordered, pairing, quality, shaping
+from stepscope.session import checkpoint_folder
 from stepscope.sources import records, runs as run_source
 
 
@@ -106,6 +109,10 @@ _ERROR_RUNS_SQL = """incoming AS (
     WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.run_id = r.run_id)""",
 )
 def a9(spark, sf):
+    return run_source.upsert_runs(*_versions(spark, sf))
+
+
+def _versions(spark, sf):
     current = src.runs(spark, sf).select("run_id", "final_status", "total_steps_taken")
     events = src.table(spark, sf, "events")
     incoming = (
@@ -113,7 +120,17 @@ def a9(spark, sf):
         .groupBy(F.col("user_id").alias("run_id"))
         .agg(F.lit("error").alias("final_status"), F.count(F.lit(1)).cast("int").alias("total_steps_taken"))
     )
-    return run_source.upsert_runs(current, incoming)
+    return current, incoming
+
+
+@query("a9_upsert_table", SQL["a9_upsert_runs"])
+def a9_table(spark, sf):
+    """The same into a stored table, of which only the parts with incoming runs are rewritten."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    current, incoming = _versions(spark, sf)
+    run_source.upsert_table(current, path)
+    run_source.upsert_table(incoming, path)
+    return run_source.read_table(spark, path)
 
 
 @query(

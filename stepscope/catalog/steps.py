@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from stepscope import taxonomy as tx
 from stepscope.catalog import inputs as src
-from stepscope.catalog.registry import query, with_
+from stepscope.catalog.registry import SQL, query, with_
 from stepscope.catalog.reshape import contains_sql, quoted
 from stepscope.config import Settings
 from stepscope.functions import text as tt
 from stepscope.operators import detectors, judging
 from stepscope.plans import drift, evaluate, reflection, rootcause, summary, tracking
 from stepscope.session import checkpoint_folder, keep
-from stepscope.streaming import guard, windows
+from stepscope.streaming import guard, sinks, windows
 
 KEYS = ["action_name"]
 SETTINGS = Settings(max_subgoal_steps=src.STEP_CAP, block_on_critical=True)
@@ -738,6 +738,65 @@ def _as_session_events(events):
     )
 
 
+def _stream(spark, sf, name):
+    schema = src.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _folder(spark, name):
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("h2_streamed_sessions", SQL["h2_idle_sessions"])
+def h2_streamed(spark, sf):
+    """Idle sessions of the events table read as a stream."""
+    events = _stream(spark, sf, "events").select(
+        F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    found = sinks.drained(windows.idle_sessions(events, gap="6 hours"), _folder(spark, "sessions"), "complete")
+    return found.select(
+        "session_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_events"
+    )
+
+
+@query("h3_streamed_replays", SQL["h3_drop_replayed"])
+def h3_streamed(spark, sf):
+    """Two streams with the same calls, as a client that resends its history."""
+    events = _stream(spark, sf, "events").select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    once = windows.drop_replayed(events.unionByName(events))
+    return sinks.drained(once, _folder(spark, "replays")).drop("ts")
+
+
+@query(
+    "h7_streamed_metrics",
+    """SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts::TIMESTAMP, TIMESTAMP '1970-01-01')) // 86400000000 AS day, event_type,
+       count(*) AS n_steps, count(*) FILTER (value > 40) AS n_flagged, count(*) FILTER (event_type = 'error') AS n_failed
+       FROM events GROUP BY ALL""",
+)
+def h7_streamed(spark, sf):
+    """Daily metrics by kind of the events table read as a stream."""
+    rows = _stream(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), "event_type",
+        F.coalesce(F.col("value") > 40, F.lit(False)).alias("flagged"), (F.col("event_type") == "error").alias("failed"),
+    )
+    counted = windows.live_metrics(rows, size="1 day", by=["event_type"])
+    found = sinks.drained(counted, _folder(spark, "metrics"), "complete")
+    day = (F.unix_seconds("window_start") / 86400).cast("bigint").alias("day")
+    return found.select(day, "event_type", "n_steps", "n_flagged", "n_failed")
+
+
+@query("a10_streamed_log", SQL["a10_redacted_log_rows"])
+def a10_streamed(spark, sf):
+    """The session log fed by a stream: credentials masked, each micro-batch written once."""
+    docs = _stream(spark, sf, "documents").select(
+        F.lit("step").alias("type"), F.col("doc_id").alias("session_id"), F.struct("text", "source").alias("body")
+    )
+    rows = sinks.drained(tt.redact_frame(docs), _folder(spark, "log"))
+    return rows.select("type", "session_id", F.md5("body.text").alias("text_md5"), "body.source")
+
+
 @query("h1_stream_guard")
 def h1(spark, sf):
     """The events table read as a stream, judged live, and the judged rows read back."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stepscope import schemas
 from stepscope.functions import text as tt
 from stepscope.operators import ordered
+from stepscope.session import keep
 
 
 def missing_keys(raw: Column) -> Column:
@@ -216,6 +217,31 @@ def upsert_runs(current: DataFrame, incoming: DataFrame, key: str = "run_id") ->
     return kept.unionByName(incoming)
 
 
+def upsert_table(incoming: DataFrame, path: str, key: str = "run_id", buckets: int = 256) -> None:
+    """`upsert_runs` into a stored table; only the parts that incoming keys fall into are rewritten.
+
+    The table is Parquet in `buckets` parts by a hash of the key; the number holds for the
+    table's whole life. Incoming rows have distinct keys and the table's columns. Doing it
+    again changes nothing, so a job that was killed half way is simply started again.
+    """
+    spark = incoming.sparkSession
+    part = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    rows = keep(incoming.withColumn("_part", part), "incoming")
+    touched = [r["_part"] for r in rows.select("_part").distinct().collect()]  # at most `buckets`
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        current = spark.read.schema(rows.schema).parquet(path).where(F.col("_part").isin(touched))
+        rows = keep(upsert_runs(current, rows, key), "merged")  # before its source is replaced
+    rows.repartition("_part").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("_part").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table that `upsert_table` wrote."""
+    return spark.read.parquet(path).drop("_part")
+
+
 def upsert_sequence(versions: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last version of each run by `order`."""
     return ordered.last_by(versions, [key], [F.col(c) for c in order])
