@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +40,17 @@ def start(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
 
 
 def written(spark: SparkSession, path: str, schema: T.StructType, mode: str = "append") -> DataFrame:
-    """What a stream has written: all micro-batches, or the last one of a whole result."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    """What a stream has written: all micro-batches, or the last one of a whole result.
+
+    A stream that found nothing to read has no micro-batch, and no row.
+    """
+    fields = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        rows = spark.read.schema(fields).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
     if mode == "complete":
         rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
     return rows.drop("batch")

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from stepscope import catalog
 from stepscope.sources import runs
 from stepscope.streaming import sinks, windows
 
@@ -65,3 +66,14 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
     for name, (build, _) in made.items():
         want = build(batch)
         assert sorted(map(str, got[name].select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_streams_read_tables_that_are_folders(spark, sf, tmp_path):
+    """Every table may be a folder of files, as large ones are; an empty stream has no row."""
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("a10_streamed_log", "h3_streamed_replays"):
+        here, there = (catalog.QUERIES[name](spark, d) for d in (str(tmp_path), sf))
+        assert here.count() == there.count() > 0
+        assert here.exceptAll(there).isEmpty()
+    assert sinks.written(spark, f"{tmp_path}/nothing", spark.range(1).schema).count() == 0
