@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from stepscope import taxonomy as tx
 from stepscope.functions import text as tt
 from stepscope.operators import ordered, vectors
-from stepscope.session import cut
+from stepscope.session import cut, keep
 
+FEW = 500_000  # clusters that are broadcast, at most; about 20 MB
+SENTENCE_END = r"[.!?\n]+"
 LEAD_IN = r"(?i)^(Step \d+:|Root cause:|The agent|Agent|Because)\s*"
 CUT_POINT = r"(?is)^(.*?)\b(?:" + "|".join(tx.CORRECTIVE_PHRASES) + r")\b"
 DEFAULT_TRIGGER = (
@@ -157,13 +160,18 @@ def leader_cluster(
 
 
 def sentences(col: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(col, F.lit("")), r"[.!?\n]+"), tt.strip)
+    parts = F.transform(F.split(F.coalesce(col, F.lit("")), SENTENCE_END), tt.strip)
     return F.filter(parts, lambda s: s != "")
 
 
 def is_corrective(sentence: Column, words: list[str] | None = None) -> Column:
+    """True when a word of advice is among the sentence's tokens, by one search."""
     words = tx.CORRECTIVE_WORDS if words is None else words
-    return F.arrays_overlap(tt.tokens(sentence), F.array(*[F.lit(w) for w in words]))
+    words = [w for w in words if re.fullmatch("[a-z0-9_]{2,}", w) and w not in tx.STOPWORDS]
+    if not words:
+        return F.lit(False)
+    found = F.lower(sentence).rlike(rf"(?<![a-z0-9_])(?:{'|'.join(words)})(?![a-z0-9_])")
+    return F.coalesce(found, F.lit(False))
 
 
 def cut_sentence(sentence: Column, pattern: str = CUT_POINT) -> Column:
@@ -195,10 +203,10 @@ def corrective_text(
     pattern = _pattern(words)
 
     def advice(text: Column) -> Column:
-        hit = F.get(F.filter(sentences(text), lambda s: is_corrective(s, words)), F.lit(0))
-        parts = cut_sentence(hit, pattern)
-        return F.when(
-            hit.isNotNull(), F.coalesce(F.nullif(parts["after"], F.lit("")), hit)
+        said = F.filter(F.split(text, SENTENCE_END), lambda s: is_corrective(s, words))
+        return tt.let(
+            tt.strip(F.get(said, F.lit(0))),
+            lambda hit: F.coalesce(F.nullif(cut_sentence(hit, pattern)["after"], F.lit("")), hit),
         )
 
     def trigger(text: Column) -> Column:
@@ -209,7 +217,9 @@ def corrective_text(
         bare = F.rtrim(tt.strip(F.regexp_replace(picked, LEAD_IN, "")), F.lit(".,;:"))
         return F.when(bare == "", F.lit(DEFAULT_TRIGGER)).otherwise(bare)
 
-    joined = members.join(chosen.select("category", "cluster", "medoid"), ["category", "cluster"])
+    # Few clusters are looked up where the texts lie: a join by cluster has a task a cluster.
+    chosen = keep(chosen.select("category", "cluster", "medoid"), "chosen")
+    joined = members.join(F.broadcast(chosen) if chosen.count() <= FEW else chosen, ["category", "cluster"])
     marked = joined.select(
         "category",
         "cluster",

@@ -288,3 +288,25 @@ def test_flatten_and_args(spark):
     args = values(spark, ['{"b": 1}', "[1]", "text", None], tt.parse_args)
     assert args == [{"b": "1"}, {"args": "[1]"}, {"raw": "text"}, {}]
     assert values(spark, ['{"b": 1, "a": {"d": 2, "c": 3}}'], tt.canonical_json) == ['{"a":{"c":3,"d":2},"b":1}']
+
+
+def test_advice_needs_no_shuffle_of_texts(spark):
+    """Few clusters: texts stay where they are; words count as whole tokens only."""
+    from stepscope.operators import mining
+
+    said = ["Other one. A los-b two! los", "\u017flos x. is los_ y\nLOS\u0130 z. so (Los) end", None, "no word", "Agent los mid"]
+    rows = [("a", 0, i, t) for i, t in enumerate(said)]
+    members = spark.createDataFrame(rows, "category string, cluster int, doc_id long, text string")
+    chosen = spark.createDataFrame([("a", 0, 4)], "category string, cluster int, medoid long")
+    made = mining.corrective_text(members, chosen, ["los", "the", "x"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    row = made.first()
+    assert row["has_corrective"] and row["safe_alternative"] == "A los-b two"
+    for text in said[:2]:
+        want = [s for s in spark.sql("select 1").select(mining.sentences(F.lit(text)).alias("s")).first()["s"]]
+        flags = spark.createDataFrame([(s,) for s in want], "s string").select(
+            mining.is_corrective(F.col("s"), ["los", "the", "x"]).alias("new"),
+            F.arrays_overlap(tt.tokens(F.col("s")), F.array(F.lit("los"), F.lit("the"), F.lit("x"))).alias("old"),
+        ).collect()
+        assert all(r["new"] == r["old"] for r in flags) and any(r["new"] for r in flags)
