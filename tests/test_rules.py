@@ -310,3 +310,23 @@ def test_advice_needs_no_shuffle_of_texts(spark):
             F.arrays_overlap(tt.tokens(F.col("s")), F.array(F.lit("los"), F.lit("the"), F.lit("x"))).alias("old"),
         ).collect()
         assert all(r["new"] == r["old"] for r in flags) and any(r["new"] for r in flags)
+
+
+def test_bare_letters_in_batches(spark):
+    """Bytes are dropped as the characters of the pattern are, in the plan query's form."""
+    import pyarrow as pa
+
+    from stepscope.catalog import texts
+
+    said = ["a\u00e9b C\tE\n1\u212a \U0001f600z\x00\x7f", "", None, "".join(map(chr, range(1, 0x300)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(said)], names=["run_id", "proposed_plan"])
+    got = next(texts._bare([batch])).column(1).to_pylist()
+    assert got == [t and re.sub(texts._BARE, "", t) for t in said]
+
+
+def test_plan_words_with_letters_that_fold(spark):
+    """Words in any case, with the letters that Unicode takes for i, k and s."""
+    said = ["F\u0130RST, cut it. THEN wash", "f\u0131r\u017ft: do a next do b", "second, a th\u0117n", "\x1f- a b\n* c d\x85"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "run_id long, proposed_plan string")
+    got = frame.select("run_id", parsing.plan_items(F.col("proposed_plan")).alias("p")).collect()
+    assert [r["p"]["strategy"] for r in got] == ["transition", "transition", "single", "bullets"]
