@@ -3,8 +3,8 @@
 A word's embedding is the sum of hashed parts: the word and its first letters, so that
 unseen endings of a known stem count. Filters of several widths run over the words, the
 largest response of each is pooled and a logistic layer scores the text. Training is
-plain numpy; thresholds are set for each predicted language and moved to 0.3 of the
-score.
+plain numpy; thresholds are set for each predicted language, by all labelled documents
+that the network has not learned from, and moved to 0.3 of the score.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from stepscope.llm.common import aside, arrow_limits, back, balanced_sample, fol
 
 SAMPLE = 2500  # documents of each label to learn from, at most 1.5 times as many
 LONGEST = 2000  # words; longer documents are scored whole but not learned from
+STEP = 0.01  # of a logit, by which scores are counted for the thresholds
 AIM = 0.3  # where the thresholds are put
 WIDTH = 8  # of an embedding
 SPANS = (1, 2, 3)  # widths of the filters in words
@@ -208,11 +209,12 @@ def cut_point(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 def train(
     docs: DataFrame, labels: DataFrame, language: langid.Model, sample: int = SAMPLE
 ) -> Model:
-    """Learn from a bounded, balanced sample of labelled documents.
+    """Train the network on a bounded, balanced sample; set thresholds by all labelled documents.
 
-    Two thirds of it train the network, the rest sets the thresholds of each predicted
-    language that has five documents of either label there; the other languages share
-    one. Labels other than 0 and 1 are left out. Without both labels nothing is flagged.
+    Two thirds of the sample train the network. Every other labelled document is scored
+    as a whole and counts for the threshold of its predicted language, if there are five
+    of either label; the other languages share one. Labels other than 0 and 1 are left
+    out. Without both labels nothing is flagged.
     """
     arrow_limits(docs.sparkSession)
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -235,20 +237,49 @@ def train(
     if len(np.unique(y[checks])) < 2 or len(np.unique(y[~checks])) < 2:
         checks[:] = False
     model = fit([t for t, c in zip(texts, checks) if not c], y[~checks])
-    judged = np.flatnonzero(checks) if checks.any() else np.arange(len(y))
-    z = Scorer(model).logits([texts[i] for i in judged])
-    y = y[judged]
-    names = np.array(langid.classify(language, [texts[i] for i in judged])["lang_pred"])
-    of_label = np.bincount(y, minlength=2)
-    weight = np.where(y == 1, total[1] / of_label[1], total[0] / of_label[0])
-    model.threshold[""] = cut_point(z, y, weight)
-    for name in np.unique(names):
-        own = names == name
-        if np.bincount(y[own], minlength=2).min() >= 5:
-            model.threshold[str(name)] = cut_point(z[own], y[own], weight[own])
+    judged = docs.where("text is not null").select("doc_id", "text").join(known, "doc_id")
+    if checks.any():
+        learned = got.loc[~checks, ["doc_id"]]
+        learned = docs.sparkSession.createDataFrame(learned, T.StructType([docs.schema["doc_id"]]))
+        judged = judged.join(F.broadcast(learned), "doc_id", "left_anti")
+    bins = binned(judged, model, language).toPandas()
+    of_label = np.bincount(bins["toxic"], bins["n"], 2)
+    share = np.array([total[0], total[1]]) / of_label
+    bins["weight"] = bins["n"] * share[bins["toxic"]]
+
+    def best(rows) -> float:
+        # Half a step up: the end of the lower bin is at most the beginning of the upper one.
+        z, y = rows["bin"].to_numpy() * STEP, rows["toxic"].to_numpy()
+        return cut_point(z, y, rows["weight"].to_numpy()) + STEP / 2
+
+    model.threshold[""] = best(bins)
+    for name, own in bins.groupby("lang_pred"):
+        if np.bincount(own["toxic"], own["n"], 2).min() >= 5:
+            model.threshold[str(name)] = best(own)
     return model
 
 
+def binned(judged: DataFrame, model: Model, language: langid.Model) -> DataFrame:
+    """(lang_pred, toxic, bin, n): all documents counted by their logit in steps of STEP.
+
+    The counts are as many as there are bins, whatever the number of documents.
+    """
+    shared = judged.sparkSession.sparkContext.broadcast((model, language))
+
+    def work():
+        scorer, language = Scorer(shared.value[0]), shared.value[1]
+
+        def of(texts):
+            at = np.floor(np.clip(scorer.logits(texts), -30, 30) / STEP).astype(np.int32)
+            return {"bin": at, "lang_pred": langid.classify(language, texts)["lang_pred"]}
+
+        return of
+
+    fields = [T.StructField("bin", T.IntegerType()), T.StructField("lang_pred", T.StringType())]
+    rows = map_texts(judged.withColumn("toxic", F.col("toxic").cast("int")), work, fields, ["toxic"])
+    return rows.groupBy("lang_pred", "toxic", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 class Scorer:
     """Scores texts and remembers the projections of words."""
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stepscope.llm import catalog, langid, quality, toxicity, urls
 
@@ -216,3 +217,20 @@ def test_boosting_fits_a_step():
     y = ((x[:, 0] > 0.3) ^ (x[:, 2] < -0.5)).astype(float)
     model = urls.fit(x[:1500], y[:1500], np.zeros((1, 2)))
     assert ((model.chance(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
+
+
+def test_toxicity_thresholds_count_all_labels(spark, monkeypatch):
+    """Documents outside the sample count for the thresholds too."""
+    seen = []
+    inner = toxicity.binned
+    monkeypatch.setattr(toxicity, "binned", lambda *a: seen.append(inner(*a).cache()) or seen[-1])
+    rows = [(i, f"word{i % 7} plain text " + ("grumpf vile" if i % 4 == 0 else "kind calm"), "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, langid.train(docs), sample=30)
+    counted = {r["toxic"]: r["s"] for r in seen[0].groupBy("toxic").agg(F.sum("n").alias("s")).collect()}
+    assert counted[0] > 230 and counted[1] > 50  # all but some 60 that the network learned from
+    assert set(model.threshold) == {"", "en"}
+    limit = model.threshold["en"]
+    for r in seen[0].collect():
+        assert (r["bin"] * toxicity.STEP >= limit - 1e-9) == bool(r["toxic"])
