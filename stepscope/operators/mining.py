@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from stepscope.functions import text as tt
 from stepscope.operators import ordered, vectors
 from stepscope.session import cut, keep
 
+WIDE = 32  # clusters of a term from which on it is kept as arrays
 FEW = 500_000  # clusters that are broadcast, at most; about 20 MB
 SENTENCE_END = r"[.!?\n]+"
 LEAD_IN = r"(?i)^(Step \d+:|Root cause:|The agent|Agent|Because)\s*"
@@ -63,36 +64,59 @@ def _assign(threshold: float):
     """Grouped map: place one slice of a category's documents, in order, into clusters.
 
     Clusters are kept as sum vectors in an inverted index, so a document meets only
-    clusters that share a term with it.
+    clusters that share a term with it. Terms of many clusters are arrays, which are added
+    as a whole; each cluster's sum is added in the order of the document's terms.
     """
 
     def run(docs: pd.DataFrame, clusters: pd.DataFrame) -> pd.DataFrame:
         index: dict[str, dict[int, float]] = {}
-        square: dict[int, float] = {}
+        wide: dict[str, _Wide] = {}
+        square = np.zeros(1024)
+        size = 0
+
+        def put(term: str, cluster: int, value: float) -> None:
+            if term in wide:
+                wide[term].put(cluster, value)
+                return
+            held = index.setdefault(term, {})
+            held[cluster] = value
+            if len(held) >= WIDE:
+                wide[term] = _Wide(index.pop(term))
+
         for row in clusters.itertuples(index=False):
             total = 0.0
             for term, value in zip(row.terms, row.totals):
-                index.setdefault(term, {})[row.cluster] = value
+                put(term, row.cluster, value)
                 total += value * value
+            size = max(size, row.cluster + 1)
+            if size > len(square):
+                square = np.concatenate([square, np.zeros(max(len(square), size))])
             square[row.cluster] = total
         out = []
         for row in docs.sort_values("ordinal").itertuples(index=False):
-            dots: dict[int, float] = {}
+            if size == len(square):
+                square = np.concatenate([square, np.zeros(size)])
+            dots = np.zeros(size)
             for term, weight in zip(row.terms, row.weights):
-                for cluster, value in index.get(term, {}).items():
-                    dots[cluster] = dots.get(cluster, 0.0) + weight * value
+                if term in wide:
+                    held = wide[term]
+                    dots[held.ids[: held.n]] += weight * held.values[: held.n]
+                else:
+                    for cluster, value in index.get(term, {}).items():
+                        dots[cluster] += weight * value
+            met = np.flatnonzero(dots)
+            sims = dots[met] / np.sqrt(square[met])
             best, best_sim = -1, -1.0
-            for cluster in sorted(dots):
-                sim = round(dots[cluster] / math.sqrt(square[cluster]), 12)
+            # Only those that may round to the greatest value are rounded.
+            for i in np.flatnonzero(sims >= sims.max(initial=0.0) - 1e-11):
+                sim = round(float(sims[i]), 12)
                 if sim > best_sim:
-                    best, best_sim = cluster, sim
+                    best, best_sim = int(met[i]), sim
             if best < 0 or best_sim < threshold:
-                best = len(square)
-                square[best] = 0.0
+                best, size = size, size + 1
             for term, weight in zip(row.terms, row.weights):
-                held = index.setdefault(term, {})
-                old = held.get(best, 0.0)
-                held[best] = old + weight
+                old = wide[term].get(best) if term in wide else index.get(term, {}).get(best, 0.0)
+                put(term, best, old + weight)
                 square[best] += (old + weight) ** 2 - old**2
             out.append((row.category, row.doc_id, row.ordinal, best))
         return pd.DataFrame(out, columns=["category", "doc_id", "ordinal", "cluster"])
@@ -100,6 +124,30 @@ def _assign(threshold: float):
     return run
 
 
+class _Wide:
+    """A term's values in many clusters, as arrays."""
+
+    def __init__(self, held: dict[int, float]):
+        self.place = {c: i for i, c in enumerate(held)}
+        self.n = len(held)
+        self.ids = np.array([*held, *[0] * self.n])
+        self.values = np.array([*held.values(), *[0.0] * self.n])
+
+    def get(self, cluster: int) -> float:
+        at = self.place.get(cluster)
+        return 0.0 if at is None else float(self.values[at])
+
+    def put(self, cluster: int, value: float) -> None:
+        at = self.place.setdefault(cluster, self.n)
+        if at == self.n:
+            if at == len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+            self.ids[at] = cluster
+            self.n += 1
+        self.values[at] = value
+
+
 def leader_cluster(
     records: DataFrame, threshold: float = 0.35, slice_rows: int = 20_000
 ) -> DataFrame:
@@ -111,6 +159,7 @@ def leader_cluster(
     category's cluster sums, never the whole category. Returns (category, doc_id,
     ordinal, cluster).
     """
+    records = keep(records.select("category", "doc_id", "text"), "records")  # read three times
     idf = vectors.idf_table(records, group=["category"])
     weights = vectors.tfidf(
         vectors.term_counts(records, ["category", "doc_id"]),
