@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepscope.llm import langid
-from stepscope.llm.common import aside, arrow_limits, back, balanced_sample, fold, map_texts, table
+from stepscope.llm.common import aside, arrow_limits, back, balanced_sample, fold, map_texts, stored, table
 
 SAMPLE = 2500  # documents of each label to learn from, at most 1.5 times as many
 LONGEST = 2000  # words; longer documents are scored whole but not learned from
@@ -31,7 +31,7 @@ STEMS = (4, 5, 6, 7)  # first letters that count as parts of a word
 CACHE = 150_000  # words a task remembers
 CHUNK = 60_000  # words convolved at a time
 
-FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+FIELDS = [T.StructField("logit", T.DoubleType()), T.StructField("lang_pred", T.StringType())]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -211,14 +211,26 @@ def train(
 ) -> Model:
     """Train the network on a bounded, balanced sample; set thresholds by all labelled documents.
 
-    Two thirds of the sample train the network. Every other labelled document is scored
-    as a whole and counts for the threshold of its predicted language, if there are five
-    of either label; the other languages share one. Labels other than 0 and 1 are left
-    out. Without both labels nothing is flagged.
+    See `trained` and `with_thresholds`. The documents are scored for the thresholds only.
+    """
+    known = known_labels(labels)
+    model, learned = trained(docs, known, sample)
+    judged = scored(docs.where("text is not null"), model, language, ["doc_id"])
+    return with_thresholds(model, judged, known, learned)
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): one label of 0 or 1 a document; others are left out."""
+    return labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def trained(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame | None]:
+    """The network, trained on two thirds of a bounded sample, and the doc_id it learned from.
+
+    Without both labels nothing is flagged and there is nothing to set thresholds by; the
+    second value is None then.
     """
     arrow_limits(docs.sparkSession)
-    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = balanced_sample(known, "toxic", "doc_id", sample, seed=2)
     short = docs.where("text is not null").where(F.size(F.split("text", r"\s+")) <= LONGEST)
     # At most three times `sample` rows are broadcast and come to the driver.
@@ -231,18 +243,28 @@ def train(
         0.0, {"": 4.0},
     )
     if len(np.unique(y)) < 2:
-        return nothing
+        return nothing, None
     texts = got["text"].tolist()
     checks = np.array([zlib.crc32(str(i).encode()) // 8 % 3 == 0 for i in got["doc_id"]])
     if len(np.unique(y[checks])) < 2 or len(np.unique(y[~checks])) < 2:
         checks[:] = False
     model = fit([t for t, c in zip(texts, checks) if not c], y[~checks])
-    judged = docs.where("text is not null").select("doc_id", "text").join(known, "doc_id")
-    if checks.any():
-        learned = got.loc[~checks, ["doc_id"]]
-        learned = docs.sparkSession.createDataFrame(learned, T.StructType([docs.schema["doc_id"]]))
-        judged = judged.join(F.broadcast(learned), "doc_id", "left_anti")
-    bins = binned(judged, model, language).toPandas()
+    learned = got.loc[~checks, ["doc_id"]] if checks.any() else got.loc[checks, ["doc_id"]]
+    return model, docs.sparkSession.createDataFrame(learned, T.StructType([docs.schema["doc_id"]]))
+
+
+def with_thresholds(model: Model, judged: DataFrame, known: DataFrame, learned: DataFrame | None) -> Model:
+    """The model with thresholds set by all labelled documents that it has not learned from.
+
+    judged(doc_id, logit, lang_pred) as `scored` gives them, of documents with a text. Each
+    counts for the threshold of its predicted language, if there are five of either label;
+    the other languages share one. Only scores are joined to labels, never texts.
+    """
+    if learned is None:
+        return model
+    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rest = judged.join(F.broadcast(learned), "doc_id", "left_anti")
+    bins = binned(rest.join(known, "doc_id")).toPandas()
     of_label = np.bincount(bins["toxic"], bins["n"], 2)
     share = np.array([total[0], total[1]]) / of_label
     bins["weight"] = bins["n"] * share[bins["toxic"]]
@@ -259,25 +281,15 @@ def train(
     return model
 
 
-def binned(judged: DataFrame, model: Model, language: langid.Model) -> DataFrame:
+def binned(judged: DataFrame) -> DataFrame:
     """(lang_pred, toxic, bin, n): all documents counted by their logit in steps of STEP.
 
     The counts are as many as there are bins, whatever the number of documents.
     """
-    shared = judged.sparkSession.sparkContext.broadcast((model, language))
-
-    def work():
-        scorer, language = Scorer(shared.value[0]), shared.value[1]
-
-        def of(texts):
-            at = np.floor(np.clip(scorer.logits(texts), -30, 30) / STEP).astype(np.int32)
-            return {"bin": at, "lang_pred": langid.classify(language, texts)["lang_pred"]}
-
-        return of
-
-    fields = [T.StructField("bin", T.IntegerType()), T.StructField("lang_pred", T.StringType())]
-    rows = map_texts(judged.withColumn("toxic", F.col("toxic").cast("int")), work, fields, ["toxic"])
-    return rows.groupBy("lang_pred", "toxic", "bin").agg(F.count(F.lit(1)).alias("n"))
+    at = F.floor(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), "logit")) / STEP).cast("int")
+    return judged.groupBy("lang_pred", F.col("toxic").cast("int").alias("toxic"), at.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
 class Scorer:
@@ -311,15 +323,9 @@ class Scorer:
         h = np.maximum(pooled(self.rows, ids) + self.model.bias, 0) if ids else np.zeros((0, len(self.model.bias)))
         return h @ self.model.out + self.model.out_bias
 
-    def score(self, texts: list[str | None], languages: list[str]) -> np.ndarray:
-        limit = self.model.threshold
-        off = np.array([limit.get(name, limit[""]) for name in languages])
-        z = np.clip(self.logits(texts) - off + np.log(AIM / (1 - AIM)), -30, 30)
-        return 1 / (1 + np.exp(-z))
-
 
-def predict(docs: DataFrame, model: Model, language: langid.Model, keep: list[str], text: str = "text") -> DataFrame:
-    """Add score (0 to 1) and predicted (1 from 0.3 on) to the kept columns.
+def scored(docs: DataFrame, model: Model, language: langid.Model, keep: list[str], text: str = "text") -> DataFrame:
+    """Add logit, before any threshold, and lang_pred to the kept columns.
 
     Null, empty and wordless texts are scored like a text in which no filter fires.
     """
@@ -329,28 +335,52 @@ def predict(docs: DataFrame, model: Model, language: langid.Model, keep: list[st
         scorer, language = Scorer(shared.value[0]), shared.value[1]
 
         def of(texts):
-            score = scorer.score(texts, langid.classify(language, texts)["lang_pred"])
-            return {"score": score, "predicted": (score >= AIM).astype(np.int32)}
+            return {
+                "logit": scorer.logits(texts).astype(np.float64),
+                "lang_pred": langid.classify(language, texts)["lang_pred"],
+            }
 
         return of
 
     return map_texts(docs, work, FIELDS, keep, text)
 
 
-def models(docs: DataFrame, labels: DataFrame) -> tuple[Model, langid.Model]:
-    language = langid.train(docs)
-    return train(docs, labels, language), language
+def judged_by(rows: DataFrame, model: Model) -> DataFrame:
+    """Add score (0 to 1) and predicted (1 from 0.3 on) by the threshold of the predicted language."""
+    limit = dict(model.threshold)
+    off = F.lit(limit.pop(""))
+    if limit:
+        own = F.create_map(*[F.lit(x) for pair in limit.items() for x in pair])
+        off = F.coalesce(own[F.col("lang_pred")], off)
+    z = F.col("logit") - off + float(np.log(AIM / (1 - AIM)))
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))
+    rows = rows.withColumn("score", 1 / (1 + F.exp(-z)))
+    return rows.withColumn("predicted", (F.col("score") >= AIM).cast("int")).drop("logit", "lang_pred")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every text is scored once; the scores lie in the shared folder and are joined to labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    docs = docs.withColumn("held_out", fold("doc_id", 4) == 2)
-    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
-    return predict(docs, *models(docs.where("not held_out"), labels), ["doc_id", "held_out"])
+    docs = docs.withColumn("held_out", fold("doc_id", 4) == 2).withColumn("_written", F.col("text").isNotNull())
+    known = known_labels(table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
+    seen = docs.where("not held_out")
+    language = langid.train(seen)
+    model, learned = trained(seen, known)
+    rows = stored(scored(docs, model, language, ["doc_id", "held_out", "_written"]), "scores")
+    with_thresholds(model, rows.where("not held_out and _written").drop("held_out"), known, learned)
+    return judged_by(rows, model).drop("_written")
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns."""
+    """The documents that are not predicted toxic, with their columns.
+
+    They are stored with their scores once, so that no text is scored twice or shuffled.
+    """
+    known = known_labels(labels)
+    language = langid.train(docs)
+    model, learned = trained(docs, known)
     own, names = aside(docs)
-    judged = predict(own, *models(docs, labels), [*names.values()], names["text"])
-    return judged.where("predicted = 0").select(*back(names))
+    rows = stored(scored(own, model, language, [*names.values()], names["text"]), "scores")
+    judged = rows.where(F.col(names["text"]).isNotNull())
+    with_thresholds(model, judged.select(F.col(names["doc_id"]).alias("doc_id"), *[f.name for f in FIELDS]), known, learned)
+    return judged_by(rows, model).where("predicted = 0").select(*back(names))

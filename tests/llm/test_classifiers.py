@@ -234,3 +234,29 @@ def test_toxicity_thresholds_count_all_labels(spark, monkeypatch):
     limit = model.threshold["en"]
     for r in seen[0].collect():
         assert (r["bin"] * toxicity.STEP >= limit - 1e-9) == bool(r["toxic"])
+
+
+def shuffled(frame, column):
+    """Exchanges of the plan that the column goes through."""
+    plan = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
+    nodes = plan.split("\n\n")
+    return [n for n in nodes if ") Exchange" in n.lstrip().split("\n")[0] and f"{column}#" in n]
+
+
+def test_thresholds_shuffle_no_texts(spark, folder, monkeypatch):
+    """Labels are joined to scores: with labels too many to broadcast no text is shuffled."""
+    seen = []
+    inner = toxicity.binned
+    monkeypatch.setattr(toxicity, "binned", lambda *a: seen.append(inner(*a)) or seen[-1])
+    rows = [(i, f"word{i % 7} plain text " + ("grumpf vile" if i % 4 == 0 else "kind calm"), "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = catalog.QUERIES["op3_toxicity"](spark, folder(docs, labels)).collect()
+        kept = toxicity.clean_documents(docs, labels)
+        assert {r["doc_id"] for r in kept.collect()} == {i for i in range(400) if i % 4}
+        assert len(seen) == 2 and all(not shuffled(frame, "text") for frame in seen)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["doc_id"] for r in got if r["predicted"]} == {i for i in range(0, 400, 4)}
