@@ -258,10 +258,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of repeated rows with one id and one fingerprint one stays; documents without an id
     stay only where no member of their group has one.
     """
-    rows = stored(fingerprints(docs, ["doc_id"]), "fingerprints")
-    roots = linked(rows).select(F.col("root_key").alias("_key"), F.col("root_fp").alias("_fp")).distinct()
     own, names = aside(docs)
-    marked = fingerprints(own, [*names.values()], names["text"])
     key = names["doc_id"]
-    kept = marked.join(roots, marked[key].eqNullSafe(roots["_key"]) & (marked["fp"] == roots["_fp"]))
-    return kept.dropDuplicates([key, "fp"]).select(*back(names))
+    rows = stored(fingerprints(docs, ["doc_id"]), "fingerprints")
+    root = F.struct(F.col("root_key").alias("key"), F.col("root_fp").alias("fp"))
+    roots = linked(rows).select(root.alias("_root")).distinct()
+    # Join and repeats go by one column, null keys equal in it, so that texts are shuffled once.
+    marked = fingerprints(own, [*names.values()], names["text"])
+    marked = marked.withColumn("_root", F.struct(F.col(key).alias("key"), "fp")).drop("fp")
+    return marked.join(roots, "_root").dropDuplicates(["_root"]).select(*back(names))

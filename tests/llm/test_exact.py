@@ -265,6 +265,20 @@ def test_near_duplicates_equal_brute_force(spark, folder, documents, odd, none,
     assert tiles.one_of_each(none).count() == 0
 
 
+def test_deduplication_shuffles_texts_once(spark):
+    rows = [(i // 2, f"text number {i // 3} of a few words") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (None, "text number 1 of a few words")], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = tiles.one_of_each(docs)
+        plan = spark._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "formatted").split("\n\n")
+        assert sorted(r["text"] for r in kept.collect()) == sorted({t for _, t in rows})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [n for n in plan if ") Exchange" in n.lstrip().split("\n")[0] and ("_in1#" in n or "first" in n)]
+    assert len(dealt) == 1, dealt
+
+
 @pytest.mark.parametrize("tile", [3, 16, 32_768])
 def test_links_hold_all_components(spark, tile):
     rng = random.Random(tile)
