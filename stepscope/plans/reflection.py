@@ -95,38 +95,36 @@ def reflect(
 
     def build(why: Column) -> Column:
         bad = F.size(why) > 0
-        return F.when(
-            trigger.isNotNull(),
-            F.struct(
-                (~bad).alias("plan_still_valid"),
-                bad.alias("revision_suggested"),
-                F.when(
-                    bad,
-                    F.concat(
-                        head, F.array_join(why, "; "),
-                        F.lit(". Original plan strategy is no longer optimal "
-                              "— revision recommended."),
-                    ),
-                )
-                .otherwise(
-                    F.concat(head, F.lit("Original plan remains valid and achievable."))
-                )
-                .alias("revision_reasoning"),
-                F.when(bad, F.round(F.least(F.lit(0.95), 0.5 + F.size(why) * 0.2), 2))
-                .otherwise(0.85)
-                .alias("confidence"),
-                trigger.alias("trigger_type"),
-                evidence.alias("evidence_sources"),
-            ),
-        ).otherwise(
-            F.struct(
-                F.lit(True).alias("plan_still_valid"),
-                F.lit(False).alias("revision_suggested"),
-                F.lit("").alias("revision_reasoning"),
-                F.lit(1.0).alias("confidence"),
-                F.lit("step_interval").alias("trigger_type"),
-                F.expr("cast(array() as array<string>)").alias("evidence_sources"),
+        return F.struct(
+            (~bad).alias("plan_still_valid"),
+            bad.alias("revision_suggested"),
+            F.when(
+                bad,
+                F.concat(
+                    head, F.array_join(why, "; "),
+                    F.lit(". Original plan strategy is no longer optimal "
+                          "— revision recommended."),
+                ),
             )
+            .otherwise(
+                F.concat(head, F.lit("Original plan remains valid and achievable."))
+            )
+            .alias("revision_reasoning"),
+            F.when(bad, F.round(F.least(F.lit(0.95), 0.5 + F.size(why) * 0.2), 2))
+            .otherwise(0.85)
+            .alias("confidence"),
+            trigger.alias("trigger_type"),
+            evidence.alias("evidence_sources"),
         )
 
-    return tt.let(reasons, build)
+    # Reasons are put together where there is a trigger only: most steps have none.
+    return F.when(trigger.isNotNull(), tt.let(reasons, build)).otherwise(
+        F.struct(
+            F.lit(True).alias("plan_still_valid"),
+            F.lit(False).alias("revision_suggested"),
+            F.lit("").alias("revision_reasoning"),
+            F.lit(1.0).alias("confidence"),
+            F.lit("step_interval").alias("trigger_type"),
+            F.expr("cast(array() as array<string>)").alias("evidence_sources"),
+        )
+    )

@@ -7,9 +7,40 @@ verdict) is again a Spark expression after it.
 
 from __future__ import annotations
 
+import json
+
 LOOK_REPEAT, LOOK_EFFECT, LOOK_FAIL = 5, 3, 4
 
 
+class Event:
+    """One event as `guard.packed` hands it over, with its flags named."""
+
+    __slots__ = (
+        "ts", "seq", "kind", "action_name", "args_key", "tool_response", "reasoning",
+        "action_key", "step_words", "flags", "plan", "terms",
+    )
+
+    def __init__(self, ts, body: str):
+        # Fields that are null are left out of the body.
+        get = json.loads(body).get
+        self.ts, self.seq, self.kind, self.flags = ts, get("seq"), get("kind"), get("flags")
+        self.action_name, self.args_key = get("action_name"), get("args_key")
+        self.tool_response, self.reasoning = get("tool_response"), get("reasoning")
+        self.action_key, self.step_words = get("action_key"), get("step_words")
+        self.plan, self.terms = get("plan"), get("terms")
+
+    said_hit = property(lambda self: bool(self.flags & 1))
+    heard_hit = property(lambda self: bool(self.flags & 2))
+    no_effect = property(lambda self: bool(self.flags & 4))
+    response_failed = property(lambda self: bool(self.flags & 8))
+    failure_term = property(lambda self: bool(self.flags & 16))
+    success_phrase = property(lambda self: bool(self.flags & 32))
+    searches = property(lambda self: bool(self.flags & 64))
+    acts = property(lambda self: bool(self.flags & 128))
+    is_placeholder = property(lambda self: bool(self.flags & 256))
+    is_substantive = property(lambda self: bool(self.flags & 512))
+
+
 def fresh() -> dict:
     return {
         "n": 0, "seq": -1, "matches": 0, "total": 0, "k": 0, "count": 0,
@@ -17,6 +48,7 @@ def fresh() -> dict:
         "words": [], "ids": [], "texts": [], "fallback": True,
         "planned": False, "placeholder": True, "closed": False,
         "keys": [], "effects": [], "fails": [], "late": 0, "opposed": [], "required": [],
+        "timer": None,
     }
 
 
@@ -25,12 +57,13 @@ def take_plan(state: dict, row) -> bool:
     upgrade = state["placeholder"] and row.is_substantive
     if state["planned"] and not upgrade:
         return False
+    plan, terms = row.plan, row.terms
     state.update(
-        planned=True, placeholder=bool(row.is_placeholder),
-        ids=list(row.subgoal_ids), texts=list(row.descriptions),
-        words=[list(w) for w in row.subgoal_words], total=len(row.subgoal_ids),
-        fallback=bool(row.is_fallback),
-        opposed=[bool(x) for x in row.opposed], required=[bool(x) for x in row.required],
+        planned=True, placeholder=row.is_placeholder,
+        ids=plan["subgoal_ids"], texts=plan["descriptions"],
+        words=plan["subgoal_words"], total=len(plan["subgoal_ids"]),
+        fallback=plan["is_fallback"],
+        opposed=terms["opposed"], required=terms["required"],
         k=0, count=0, completed=0, stalled=0, failed=0, last=None, last_steps=0, matches=0,
     )
     return True
@@ -44,12 +77,12 @@ def plan_faults(state: dict, row) -> tuple[int | None, int | None]:
     """First contradicted direction and first left-out term of the task in a search, by number."""
     if not row.searches:
         return None, None
-    task, plan = state.get("opposed", []), row.opposed
+    task, plan = state.get("opposed", []), row.terms["opposed"]
     contra = next(
         (m for m in range(len(task)) if task[m] and not task[m ^ 1] and plan[m ^ 1] and not plan[m]), None
     )
     required = state.get("required", [])
-    omitted = next((i for i, t in enumerate(required) if row.acts and t and not row.required[i]), None)
+    omitted = next((i for i, t in enumerate(required) if row.acts and t and not row.terms["required"][i]), None)
     return contra, omitted
 
 

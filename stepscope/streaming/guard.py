@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from operator import attrgetter
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,6 +30,8 @@ active_subgoal_index int, is_fallback boolean, total_steps int,
 reasoning string, contradicted int, omitted int
 """
 _NAMES = [part.split()[0] for part in OUT.replace("\n", " ").split(",")]
+_ROW = Row(*_NAMES)
+_SEQ = attrgetter("seq")
 
 
 def prepare(events: DataFrame, phrase: str = detectors.NO_EFFECT, rules=None,
@@ -88,6 +90,34 @@ def prepare(events: DataFrame, phrase: str = detectors.NO_EFFECT, rules=None,
     )
 
 
+# Flags of an event, one bit each in this order.
+FLAGS = [
+    "said_hit", "heard_hit", "no_effect", "response_failed", "failure_term", "success_phrase",
+    "searches", "acts", "is_placeholder", "is_substantive",
+]
+
+
+def packed(ready: DataFrame) -> DataFrame:
+    """Prepared events in one column beside key and time, as each value handed to Python costs.
+
+    A plan travels with its prompt only, the terms of a task with prompts and searches.
+    """
+    bits = F.lit(0)
+    for i, name in enumerate(FLAGS):
+        here = F.col(name) != "" if name in ("failure_term", "success_phrase") else F.col(name)
+        bits = bits + F.when(here, 1 << i).otherwise(0)
+    terms = ["opposed", "required"]
+    plan = ["subgoal_ids", "descriptions", "subgoal_words", "is_fallback"]
+    prompts = F.col("event") == "UserPromptSubmit"
+    body = F.struct(
+        "seq", F.col("event").alias("kind"), "action_name", "args_key", "tool_response",
+        "reasoning", "action_key", "step_words", bits.alias("flags"),
+        F.when(prompts, F.struct(*plan)).alias("plan"),
+        F.when(prompts | F.col("searches"), F.struct(*terms)).alias("terms"),
+    )
+    return ready.select("session_id", "ts", F.to_json(body).alias("body"))
+
+
 class SessionGuard(StatefulProcessor):
     """Keyed by session. State: counters, three short buffers and the plan's words."""
 
@@ -100,85 +130,84 @@ class SessionGuard(StatefulProcessor):
         self.saved = handle.getValueState("session", "body string")
 
     def _load(self) -> dict:
-        held = self.saved.get() if self.saved.exists() else None
+        held = self.saved.get()
         return json.loads(held[0]) if held else fold.fresh()
 
-    def _row(self, session: str, kind: str, state: dict, row: Any = None, **values) -> dict:
-        out = dict.fromkeys(_NAMES)
-        out.update(fold.snapshot(state))
+    def _row(self, session: str, kind: str, state: dict, event: Any = None, **values) -> Row:
+        out = fold.snapshot(state)
         out.update(
             session_id=session, kind=kind, matches_so_far=state["matches"],
             total_steps=state["n"],
         )
-        if row is not None:
+        if event is not None:
             out.update(
-                seq=row.seq, ts=row.ts, action_name=row.action_name, args_key=row.args_key,
-                tool_response=row.tool_response, reasoning=row.reasoning,
+                seq=event.seq, ts=event.ts, action_name=event.action_name,
+                args_key=event.args_key, tool_response=event.tool_response,
+                reasoning=event.reasoning,
             )
         out.update(values)
-        return out
+        return _ROW(*map(out.get, _NAMES))
 
-    def _close(self, session: str, state: dict) -> list[dict]:
+    def _close(self, session: str, state: dict) -> list[Row]:
         if state["closed"] or not state["n"]:
             return []
         state["closed"] = True
         return [self._row(session, "summary", state, step_index=state["n"] - 1)]
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
+    def _wake(self, state: dict, at: int | None) -> None:
+        """Have the timer at `at` only, or none; the state knows when it is set."""
+        if "timer" not in state:  # of a checkpoint from before it did
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        held = state.get("timer")
+        if held is not None and held != at:
+            self.handle.deleteTimer(held)
+        if at is not None and held != at:
+            self.handle.registerTimer(at)
+        state["timer"] = at
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         session = key[0]
         state = self._load()
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        out, newest = [], None
-        for row in batch.itertuples(index=False):
-            if row.seq <= state["seq"]:
+        newest = None
+        for event in sorted((fold.Event(*row[1:]) for row in rows), key=_SEQ):
+            if event.seq <= state["seq"]:
                 state["late"] += 1
-                out.append(self._row(session, "late", state, row))
+                yield self._row(session, "late", state, event)
                 continue
-            state["seq"] = int(row.seq)
-            newest = row.ts if newest is None or row.ts > newest else newest
-            if row.event == "UserPromptSubmit":
-                if fold.take_plan(state, row):
-                    out.append(self._row(session, "plan", state, row))
-            elif row.event == "PreToolUse":
-                fails = fold.failed_repeats(state, row.action_key)
+            state["seq"] = event.seq
+            if event.ts is not None and (newest is None or event.ts > newest):
+                newest = event.ts
+            if event.kind == "UserPromptSubmit":
+                if fold.take_plan(state, event):
+                    yield self._row(session, "plan", state, event)
+            elif event.kind == "PreToolUse":
+                fails = fold.failed_repeats(state, event.action_key)
                 kind = "block" if fails >= 3 else "allow"
-                out.append(self._row(session, kind, state, row, failed_repeats=fails))
-            elif row.event == "PostToolUse":
+                yield self._row(session, kind, state, event, failed_repeats=fails)
+            elif event.kind == "PostToolUse":
                 state["closed"] = False
-                fails = fold.failed_repeats(state, row.action_key)
-                facts = fold.take_step(state, row, self.cap)
-                out.append(self._row(session, "step", state, row, failed_repeats=fails, **facts))
-            elif row.event in ("Stop", "SessionEnd"):
-                out += self._close(session, state)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        if newest is not None and not state["closed"]:
-            self.handle.registerTimer(int(newest.timestamp() * 1000) + self.idle_ms)
+                fails = fold.failed_repeats(state, event.action_key)
+                facts = fold.take_step(state, event, self.cap)
+                yield self._row(session, "step", state, event, failed_repeats=fails, **facts)
+            elif event.kind in ("Stop", "SessionEnd"):
+                yield from self._close(session, state)
+        awake = newest is not None and not state["closed"]
+        self._wake(state, int(newest.timestamp() * 1000) + self.idle_ms if awake else None)
         self.saved.update((json.dumps(state),))
-        if out:
-            yield pd.DataFrame(out, columns=_NAMES).astype(_TYPES)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any):
+    def handleExpiredTimer(
+        self, key: Any, timerValues: Any, expiredTimerInfo: Any
+    ) -> Iterator[Row]:
         state = self._load()
-        out = self._close(key[0], state)
+        yield from self._close(key[0], state)
+        state["timer"] = None
         self.saved.update((json.dumps(state),))
-        if out:
-            yield pd.DataFrame(out, columns=_NAMES).astype(_TYPES)
 
     def close(self) -> None:
         pass
 
 
-_TYPES = {
-    **{n: "Int64" for n in ("seq", "step_index", "repeats", "no_effects", "failed_repeats",
-                            "matches_so_far", "steps_in_current_subgoal",
-                            "completed_subgoals_count", "stalled_advanced_subgoals_count",
-                            "failed_subgoals_count", "total_subgoals_count",
-                            "active_subgoal_index", "total_steps", "contradicted", "omitted")},
-    "ts": "datetime64[us]",
-}
-
-
 def stream_guard(
     events: DataFrame,
     settings: Settings | None = None,
@@ -195,8 +224,8 @@ def stream_guard(
     """
     settings = settings or Settings()
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    ready = prepare(events, **options).withWatermark("ts", watermark)
-    judged = ready.groupBy("session_id").transformWithStateInPandas(
+    ready = packed(prepare(events, **options)).withWatermark("ts", watermark)
+    judged = ready.groupBy("session_id").transformWithState(
         statefulProcessor=SessionGuard(max(1, settings.max_subgoal_steps), idle_seconds),
         outputStructType=OUT,
         outputMode="Append",

@@ -330,3 +330,21 @@ def test_plan_words_with_letters_that_fold(spark):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "run_id long, proposed_plan string")
     got = frame.select("run_id", parsing.plan_items(F.col("proposed_plan")).alias("p")).collect()
     assert [r["p"]["strategy"] for r in got] == ["transition", "transition", "single", "bullets"]
+
+
+def test_word_rules_look_closer_at_likely_texts_only(spark):
+    """Texts with too few of the words skip the word sets, and none is lost by it."""
+    from stepscope import taxonomy as tx
+    from stepscope.functions import text as tt
+
+    sets = [words for rule in tx.KEYWORD_RULES for words in rule[3]]
+    cover = tt._cover(sets)
+    assert all(set(words) & set(cover) for words in sets)
+    texts = [" ".join(words).upper() for words in sets] + [words[0] for words in sets] + ["", "click", "error ok"]
+    odd = [("r", "t", "d", [("a", "b"), ("c",)]), ("q", "u", "e", [("a",), ()])]
+    for rules in (tx.KEYWORD_RULES, odd, odd[:1]):
+        frame = spark.createDataFrame([(t,) for t in [*texts, "a", "b", "xcx"]], "t string")
+        got = {r.t: r.m and r.m.rule_id for r in tt.add_keyword_rule(frame, "m", "t", rules).collect()}
+        for t, rule in got.items():
+            hits = [sum(all(w in t.lower() for w in words) for words in r[3]) for r in rules]
+            assert rule == (rules[hits.index(max(hits))][0] if max(hits) else None)

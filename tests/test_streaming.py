@@ -134,3 +134,39 @@ def test_live_knows_the_task_and_the_reasoning(spark, monkeypatch):
     said = " ".join(str(v[0]) for v in got.values())
     for rule in ("planning_contradiction", "planning_constraint_omission", "tool_use_malformed_action"):
         assert rule in said
+
+
+def test_a_session_costs_few_state_calls(spark):
+    """A session's events come as rows of few columns, and its timer is known without a search."""
+    calls = []
+
+    class Handle:
+        body = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.body
+
+        def update(self, body):
+            calls.append("update")
+            self.body = body
+
+        def __getattr__(self, name):
+            return lambda *_: calls.append(name) or []
+
+    rows = [("s", i, f"2024-01-01 00:00:0{i}", "PostToolUse", "", "", "bash", '{"c": 1}', "Error: failed") for i in (3, 1, 2)]
+    events = spark.createDataFrame(rows, COLUMNS.replace("ts timestamp", "ts string")).withColumn("ts", F.to_timestamp("ts"))
+    ready = guard.packed(guard.prepare(events))
+    assert ready.columns == ["session_id", "ts", "body"]
+    judge = guard.SessionGuard(cap=3, idle_seconds=30)
+    judge.init(Handle())
+    batch = ready.collect()
+    first = list(judge.handleInputRows(("s",), iter(batch), None))
+    assert [(r.kind, r.seq, r.step_index, r.failed_repeats) for r in first] == [("step", i + 1, i, i) for i in range(3)]
+    assert sorted(calls) == ["get", "registerTimer", "update"]
+    again = list(judge.handleInputRows(("s",), iter(batch), None))
+    assert [r.kind for r in again] == ["late"] * 3
+    assert "listTimers" not in calls and "exists" not in calls
