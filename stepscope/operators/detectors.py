@@ -226,12 +226,12 @@ def assess_steps(
             ),
         )
 
-    # One nested expression: a filter on its result, when pushed down, then repeats it
-    # once and not once per reference between its parts.
+    # One nested expression, and a row made of it: a filter on its result would be pushed
+    # down and repeat it once per reference, but does not pass a generator.
     whole = tt.let(tracking.state_struct(step, tracking.step_stamp(counted)), with_state)
     parts = ["state", "drift", "reflection"]
     return (
-        joined.withColumn("_a", whole)
+        joined.withColumn("_a", F.explode(F.array(whole)))
         .withColumns({name: F.col(f"_a.{name}") for name in parts})
         .drop("_a", *tracking.TRACKED)
     )

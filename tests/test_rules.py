@@ -348,3 +348,10 @@ def test_word_rules_look_closer_at_likely_texts_only(spark):
         for t, rule in got.items():
             hits = [sum(all(w in t.lower() for w in words) for words in r[3]) for r in rules]
             assert rule == (rules[hits.index(max(hits))][0] if max(hits) else None)
+
+
+def test_a_filter_on_the_verdict_does_not_repeat_it(spark, sf):
+    from stepscope import catalog
+
+    plan = catalog.QUERIES["h5_alerts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Slow progress ratio") == 1
